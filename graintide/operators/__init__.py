@@ -1,0 +1 @@
+"""graintide.operators"""
