@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graintide.llm.mil_quality import op8_quality_classifier
 from graintide.llm.one_perm import op9_one_permutation_fingerprints
+from graintide.llm.order_minhash import op5_order_minhash_near_dedup
 from graintide.llm.packing import op10_best_fit_packing
 from graintide.llm.piece_bpe import op3_sentencepiece
 from graintide.llm.sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op3_sentencepiece, op9_one_permutation_fingerprints, op10_best_fit_packing)
+    found = (op1_sharding, op3_sentencepiece, op5_order_minhash_near_dedup, op8_quality_classifier, op9_one_permutation_fingerprints, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
