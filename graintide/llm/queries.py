@@ -11,13 +11,16 @@ from graintide.llm.one_perm import op9_one_permutation_fingerprints
 from graintide.llm.order_minhash import op5_order_minhash_near_dedup
 from graintide.llm.packing import op10_best_fit_packing
 from graintide.llm.piece_bpe import op3_sentencepiece
+from graintide.llm.secrets import op2_secret_scan
 from graintide.llm.sharding import op1_sharding
+from graintide.llm.warc import SQL as WARC_SQL
+from graintide.llm.warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op3_sentencepiece, op5_order_minhash_near_dedup, op8_quality_classifier, op9_one_permutation_fingerprints, op10_best_fit_packing)
+    found = (op1_sharding, op2_secret_scan, op3_sentencepiece, op4_warc, op5_order_minhash_near_dedup, op8_quality_classifier, op9_one_permutation_fingerprints, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}
