@@ -182,3 +182,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(keep(cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents' pieces with their sequences."""
+    import public_tokenizers
+
+    return pack(keep(cut(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
