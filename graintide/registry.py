@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["rolling_price_trend"](spark, sf_dir)
+    return queries()["spec_curve"](spark, sf_dir)
