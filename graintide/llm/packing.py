@@ -32,7 +32,8 @@ from graintide.llm.common import keep, table
 
 CAPACITY = 4096
 _PIECES = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long"
-MEMO = 400_000
+#: Words remembered in each of two generations; a word met again moves to the younger one.
+MEMO = 600_000
 MEMO_CHARS = 64
 
 
@@ -49,14 +50,20 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.words.findall(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for ws in split for w in ws if w not in memo})
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        for w in {w for ws in split for w in ws if w not in memo}:
+            if (known := older.get(w)) is None:
+                new.append(w)
+            else:
+                memo[w] = known
         long = {}
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
