@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "estimators")
+MODULES = ("relational", "estimators", "monitoring")
 
 
 def load() -> None:
