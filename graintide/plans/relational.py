@@ -122,8 +122,9 @@ SQL = {
 }
 
 
-def _register(key: str, sql: str) -> None:
-    registry.register(key, views.cte(sql))(lambda spark, sf_dir: views.run(spark, sf_dir, sql))
+def _register(key: str, sql: str, oracle: str | None = None) -> None:
+    """Put one text under a key; ``oracle`` is its DuckDB spelling where the two engines differ."""
+    registry.register(key, views.cte(oracle or sql))(lambda spark, sf_dir: views.run(spark, sf_dir, sql))
 
 
 for _key, _sql in SQL.items():
