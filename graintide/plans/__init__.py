@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "estimators", "monitoring", "forecasting")
+MODULES = ("relational", "estimators", "monitoring", "forecasting", "ingestion")
 
 
 def load() -> None:
