@@ -3,12 +3,17 @@
 The k-mers of a text are its runs of five words, each labelled with its
 occurrence number.  Every sketch takes the two k-mers of least hash and keeps
 them in text order, so two texts share a sketch only if they share k-mers in the
-same order.  Texts that share a sketch's value are candidates of the value's
-centre, one centre per value and another order for each value, so candidates
-stay in proportion to the sketches however large a group is.  A candidate pair is
-a link if a banded alignment of its words finds an edit similarity of 0.8 or
-more.  First each text's best candidate is aligned, then only the pairs that the
-links so far leave in different classes.  Classes are the connected components.
+same order.  All texts that share a sketch's value are candidates of each other.
+A candidate pair is a link if a banded alignment of its words finds an edit
+similarity of 0.8 or more.  Classes are the connected components.
+
+Pairs are met by rounds.  In the first every value has one centre, another order
+for each value; each text's best centre is aligned, then only the pairs that the
+links so far leave in different classes.  Each later round drops the values that
+hold a single class, and elects new centres, four times as many as in the round
+before, among the rows that were none; they meet all other rows of the value in
+other classes.  Rounds end when no value has an untested pair of classes, so a
+group of copies is contracted early and only texts that don't link cost a pair each.
 
 Equal texts are one node from the start and are never paired.  The edit
 similarity of texts with n and m words at word distance d is 1 - d / max(n, m).
@@ -22,6 +27,7 @@ Other columns, whatever their names, are carried along unread.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +41,8 @@ from graintide.llm.common import keep, table
 WORDS, SKETCHES = 5, 48
 #: At most one word in this many differs between linked texts: a similarity of 0.8.
 ONE_IN = 5
+#: Buckets of a text's word counts, compared before texts are fetched for alignment.
+BAG = 128
 _MEMO = 400_000
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
@@ -54,20 +62,22 @@ class Sketcher:
         self.factor = (rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
         self.words: dict[str, int] = {}
 
-    def kmers(self, text: str) -> np.ndarray:
-        """Hashes of the occurrence-labelled k-mers in text order."""
+    def ids(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint64)
         known = self.words
         if len(known) > _MEMO:
             known.clear()
         for w in words:
             if w not in known:
                 known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.array([known[w] for w in words], np.uint64)
+        return np.array([known[w] for w in words], np.uint64)
+
+    def kmers(self, text: str) -> np.ndarray:
+        """Hashes of the occurrence-labelled k-mers in text order."""
+        ids = self.ids(text.split())
+        if not len(ids):
+            return np.zeros(0, np.uint64)
         n = max(1, len(ids) - WORDS + 1)
         grams = np.zeros(n, np.uint64)
         for k in range(min(WORDS, len(ids))):
@@ -103,6 +113,11 @@ class Sketcher:
         values = np.concatenate(out)
         return _mix(values + np.arange(1, len(values) + 1, dtype=np.uint64)).view(np.int64)
 
+    def bag(self, text: str) -> bytes:
+        """Counts of the text's words by hash, BAG bytes that stop at 255, and the number of words."""
+        ids = self.ids(text.split())
+        return np.minimum(np.bincount((_mix(ids) % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes() + len(ids).to_bytes(4, "little")
+
 
 @functools.cache
 def sketcher() -> Sketcher:
@@ -182,13 +197,35 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return keep(roots.select(F.col("u").alias("node"), "root"), "roots")
 
 
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots, (node, root), after new links between nodes; only the links' classes are looked at."""
+    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    new = components(ends.filter("u != v"))
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return keep(moved.unionByName(new), "contracted")
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    take = sketcher().sketch
+    take, bag = sketcher().sketch, sketcher().bag
     for batch in batches:
-        rows = [take(x.as_py() or "") for x in batch.column(1)]
+        texts = [x.as_py() or "" for x in batch.column(1)]
+        rows = [take(x) for x in texts]
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rid", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag(x) for x in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rid", "bag", "sketch"])
+
+
+def _near_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bags don't yet rule out the similarity: no word may be short by more than the band."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BAG + 4) for c in (2, 3))
+            n, m = (np.ascontiguousarray(x[:, BAG:]).view("<u4")[:, 0].astype(np.int64) for x in (a, b))
+            less = a[:, :BAG].astype(np.int16) - b[:, :BAG]
+            more = np.maximum(np.maximum(less, 0).sum(1), np.maximum(-less, 0).sum(1))
+            yield part.select(["u", "v"]).filter(pa.array(np.maximum(more, abs(n - m)) <= np.maximum(n, m) // ONE_IN))
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +245,40 @@ def _marked(rows: DataFrame, ids: DataFrame, most: int = MASK_ROWS) -> DataFrame
     return found.withColumn("marked", F.expr("coalesce(shiftrightunsigned(_mask, cast(rid & 63 as int)) & 1L, 0L) = 1L")).drop("_block", "_mask")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, bags: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts align."""
-    left = texts.select(F.col("rid").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("rid").alias("v"), F.col("text").alias("b"))
-    rows = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return keep(rows.mapInArrow(_aligned, "u long, v long"), "links")
+
+    def joined(rows: DataFrame, side: DataFrame, value: str) -> DataFrame:
+        left = side.select(F.col("rid").alias("u"), F.col(value).alias("a"))
+        right = side.select(F.col("rid").alias("v"), F.col(value).alias("b"))
+        return rows.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
+
+    near = keep(joined(pairs, bags, "bag").mapInArrow(_near_bags, "u long, v long"), "near")
+    return keep(joined(near, texts, "text").mapInArrow(_aligned, "u long, v long"), "links")
+
+
+def _rest(met: DataFrame, tested: DataFrame, roots: DataFrame, bags: DataFrame, texts: DataFrame) -> DataFrame:
+    """roots after every pair of met's rows (value, rid) that share a value is aligned or within one class."""
+    live = met
+    for k in itertools.count():
+        named = live.join(roots, F.col("rid") == F.col("node"), "left").select("value", "rid", F.coalesce("root", "rid").alias("root"))
+        mixed = named.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("value")
+        live = keep(named.join(mixed, "value"), "live")
+        if live.isEmpty():
+            return roots
+        turn = F.shiftrightunsigned(F.xxhash64(F.lit(k), "value"), 1)
+        deal = F.pmod(F.xxhash64("value", F.lit(k), "rid"), F.lit(4 ** min(k, 30)))
+        least = live.groupBy("value", deal.alias("deal")).agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"))
+        elected = keep(least.select("value", F.col("least").bitwiseXOR(turn).alias("rid"), F.lit(True).alias("centre")), "elected")
+        live = keep(live.join(elected, ["value", "rid"], "left"), "elect")
+        centres = live.filter("centre").select("value", F.col("rid").alias("c"), F.col("root").alias("root_c"))
+        pairs = live.join(centres, "value").filter("root != root_c and (centre is null or rid < c)").select(F.least("rid", "c").alias("u"), F.greatest("rid", "c").alias("v")).distinct()
+        pairs = keep(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        links = _links(pairs, bags, texts)
+        if not links.isEmpty():
+            roots = contracted(roots, links)
+        tested = tested.unionByName(pairs)
+        live = live.filter("centre is null").select("value", "rid")
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -229,23 +294,25 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     members = keep(hashes.join(copies, ["h1", "h2"], "left").select("rid", F.coalesce("uid", "rid").alias("uid")), "members")
 
     unique = _marked(given, members.filter("rid != uid").select("rid")).filter("not marked")
-    single = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, sketch array<long>"), "sketches").select("rid", F.explode("sketch").alias("value"))
+    single = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, bag binary, sketch array<long>"), "sketches")
+    bags, single = single.select("rid", "bag"), single.select("rid", F.explode("sketch").alias("value"))
     turn = F.shiftrightunsigned(F.xxhash64("value"), 1)
-    centres = keep(single.groupBy("value").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", F.col("least").bitwiseXOR(turn).alias("centre")), "centres")
-    met = single.join(centres, "value").filter("rid != centre")
+    centres = keep(single.groupBy("value").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", F.col("least").bitwiseXOR(turn).alias("centre"), "n"), "centres")
+    met = keep(single.join(centres.withColumnRenamed("n", "size"), "value").filter("rid != centre"), "met")
     pairs = keep(met.groupBy(F.least("rid", "centre").alias("u"), F.greatest("rid", "centre").alias("v")).agg(F.count(F.lit(1)).alias("n")), "pairs")
 
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
     texts = keep(_marked(given, nodes).filter("marked").drop("marked"), "texts")
     ends = pairs.select("n", F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e"))
     best = ends.groupBy("e.x").agg(F.max(F.struct("n", F.col("e.y").alias("y"))).alias("top")).select(F.least("x", "top.y").alias("u"), F.greatest("x", "top.y").alias("v")).distinct()
-    links = _links(best, texts)
+    links = _links(best, bags, texts)
     roots = components(links)
     name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(name("u"), "u", "left").join(name("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    later = _links(rest.join(best, ["u", "v"], "left_anti"), texts)
+    later = _links(rest.join(best, ["u", "v"], "left_anti"), bags, texts)
     if not later.isEmpty():
-        roots = components(links.unionByName(later))
+        roots = contracted(roots, later)
+    roots = _rest(met.filter("size > 2").select("value", "rid"), pairs.select("u", "v"), roots, bags, texts)
 
     found = members.join(roots, F.col("uid") == F.col("node"), "left").select("rid", F.coalesce("root", "uid").alias("root"))
     alone = own.filter(F.col("text").isNull()).select("rid", F.col("rid").alias("root"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -121,3 +122,32 @@ def test_marked_rows_by_mask_and_by_shuffle(spark):
     for most in (0, 100):
         found = _marked(rows, spark.createDataFrame([(i,) for i in ids], "rid long"), most).collect()
         assert {r.rid: r.marked for r in found} == want and len(found) == len(want)
+
+
+def test_star_of_copies_that_link_through_one_text_only(spark):
+    rng = random.Random(11)
+    words = [f"s{i}" for i in range(300)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 400):
+        copy = list(words)
+        for at in rng.sample(range(300), 300 * rng.randint(12, 18) // 100):
+            copy[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    parent = {k: k for k, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    split = {k: t.split() for k, t in rows}
+    sketches = {k: set(sketcher().sketch(t).tolist()) for k, t in rows}
+    for a, b in itertools.combinations(split, 2):
+        if not sketches[a].isdisjoint(sketches[b]) and 5 * sum(x != y for x, y in zip(split[a], split[b], strict=True)) <= 300:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = defaultdict(list)
+    for k, _ in rows:
+        want[root(k)].append(k)
+    assert len(want[0]) > 350
+    assert sorted(sorted(v) for v in groups(spark, rows).values()) == sorted(sorted(v) for v in want.values())
