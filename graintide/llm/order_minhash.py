@@ -1,7 +1,11 @@
 """Near-duplicates by order MinHash and banded alignment.
 
-The k-mers of a text are its runs of five words, each labelled with its
-occurrence number.  Every sketch takes the two k-mers of least hash and keeps
+The k-mers of a text are its runs of three words, each labelled with its
+occurrence number.  One changed word touches three of them, so at a similarity of
+0.8 at least 2 of 5 are left wherever the changes stand, and the number of sketches
+is set for a recall of 0.99 there.  Texts below 20 words are met with certainty: two
+texts of at most M words at distance M // 5 share a run of M - M // 5 words left by
+deletions, and every such run is a value.  Every sketch takes the two k-mers of least hash and keeps
 them in text order, so two texts share a sketch only if they share k-mers in the
 same order.  All texts that share a sketch's value are candidates of each other.
 A candidate pair is a link if a banded alignment of its words finds an edit
@@ -19,8 +23,7 @@ Equal texts are one node from the start and are never paired.  The edit
 similarity of texts with n and m words at word distance d is 1 - d / max(n, m).
 
 Defined cases: a null text is a class of its own; empty texts are equal to each
-other; a text without words links to its equals only; fewer than five words are
-one k-mer; repeated rows are equal texts; an empty table gives an empty result.
+other; a text without words links to its equals only; repeated rows are equal texts; an empty table gives an empty result.
 Other columns, whatever their names, are carried along unread.
 """
 
@@ -38,7 +41,12 @@ from pyspark.sql import functions as F
 
 from graintide.llm.common import keep, table
 
-WORDS, SKETCHES = 5, 48
+WORDS = 3
+#: Sketches of a text of LONG k-mers or more, and of a shorter one.  With the share j of common k-mers, s sketches meet with
+#: 1 - (1 - j * j) ** s; the changes placed worst leave j * j = 0.035 at 20 words and 0.057 at 100.
+SKETCHES, SHORT_SKETCHES, LONG = 80, 132, 100
+#: Pairs of at most this many words are met with certainty.
+EXACT = 19
 #: At most one word in this many differs between linked texts: a similarity of 0.8.
 ONE_IN = 5
 #: Buckets of a text's word counts, compared before texts are fetched for alignment.
@@ -55,11 +63,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def left(n: int, m: int) -> np.ndarray:
+    """Every choice of m of n places, in order."""
+    return np.array(list(itertools.combinations(range(n), m)), np.int64).reshape(-1, m)
+
+
 class Sketcher:
-    def __init__(self, sketches: int = SKETCHES, seed: int = 5) -> None:
+    def __init__(self, sketches: int = SHORT_SKETCHES, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.step = rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.factor = (rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+        self.place = rng.integers(1, 2**63, EXACT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.words: dict[str, int] = {}
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -92,6 +107,20 @@ class Sketcher:
             grams[later] = _mix(grams[later] + again[again > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return grams
 
+    def deletions(self, text: str) -> np.ndarray:
+        """Hashes of the runs of words that a pair of at most EXACT words shares if it links."""
+        ids = self.ids(text.split())
+        n = len(ids)
+        lengths = {longest - longest // ONE_IN for longest in range(n, EXACT + 1)} if n else set()
+        out = [_mix((ids[left(n, m)] * self.place[:m]).sum(1) + _mix(np.array([m], np.uint64))) for m in lengths if m <= n]
+        return np.unique(np.concatenate([*out, np.zeros(0, np.uint64)])).view(np.int64)
+
+    def values(self, text: str) -> np.ndarray:
+        """Everything that candidates share: deletions, and sketches where a linked text may be longer than EXACT."""
+        n = len(text.split())
+        own = self.sketch(text) if n >= EXACT + 1 - (EXACT + 1) // ONE_IN else np.zeros(0, np.int64)
+        return np.concatenate([self.deletions(text), own])
+
     def sketch(self, text: str) -> np.ndarray:
         grams = self.kmers(text)
         n = len(grams)
@@ -99,8 +128,9 @@ class Sketcher:
             return np.zeros(0, np.int64)
         out = []
         step = max(1, 4_000_000 // n)
-        for k in range(0, len(self.factor), step):
-            h = grams * self.factor[k : k + step]
+        factor = self.factor if n < LONG else self.factor[:SKETCHES]
+        for k in range(0, len(factor), step):
+            h = grams * factor[k : k + step]
             rows = np.arange(len(h))
             one = h.argmin(1)
             if n > 1:
@@ -207,7 +237,7 @@ def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    take, bag = sketcher().sketch, sketcher().bag
+    take, bag = sketcher().values, sketcher().bag
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
         rows = [take(x) for x in texts]

@@ -151,3 +151,51 @@ def test_star_of_copies_that_link_through_one_text_only(spark):
         want[root(k)].append(k)
     assert len(want[0]) > 350
     assert sorted(sorted(v) for v in groups(spark, rows).values()) == sorted(sorted(v) for v in want.values())
+
+
+def substituted(rng, words, n, spread):
+    out = list(words)
+    step = len(words) // n
+    for i in range(n):
+        out[i * step + (rng.randrange(step) if not spread else step // 2)] = f"new{rng.random()}"
+    return out
+
+
+def test_short_texts_with_edits_are_met(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(120):
+        n = 4 + g % 16
+        words = [f"g{g}w{i}" for i in range(n)]
+        rows += [" ".join(words), " ".join(edited(rng, words, n // 5)), " ".join(edited(rng, words, n // 5))]
+        rows.append(" ".join([*words[: n // 2], *(["more"] * ((n + n // 4) // 5 if n % 4 == 0 else 0)), *words[n // 2 :]]))
+    rows = list(enumerate(rows))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    split = [t.split() for _, t in rows]
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if a // 4 == b // 4 and 5 * distance(split[a], split[b]) <= max(len(split[a]), len(split[b])):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = defaultdict(list)
+    for k, _ in rows:
+        want[root(k)].append(k)
+    assert max(map(len, want.values())) > 2
+    assert sorted(sorted(v) for v in groups(spark, rows).values()) == sorted(sorted(v) for v in want.values())
+
+
+def test_recall_at_the_threshold():
+    rng = random.Random(13)
+    take = sketcher().values
+    for n in (5, 10, 16, 19, 20, 25, 40, 99, 100, 300):
+        for spread in (False, True):
+            met = 0
+            for t in range(400):
+                words = [f"t{t}w{i}" for i in range(n)]
+                other = substituted(rng, words, n // 5, spread)
+                met += not set(take(" ".join(words)).tolist()).isdisjoint(take(" ".join(other)).tolist())
+            assert met == 400 if n < 20 else met >= 392, (n, spread, met)
