@@ -93,12 +93,14 @@ def candidates(text: Column, path: Column) -> Column:
 
 
 def labelled_findings(docs: DataFrame, text: str = "text", most: int = MAX_FINDINGS) -> DataFrame:
-    """A bounded default training table: (text, path, value, label), from ``most`` texts in order of their hash.
+    """A bounded default training table: (text, path, value, label), from ``most`` distinct texts in order of their hash.
 
-    Each text lends its first words as surroundings; the values' kinds are in equal shares.
+    Each text lends its first words as surroundings, and a counter stands in where there are too few texts; the values' kinds are in equal shares.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    near = docs.select(F.xxhash64(own).alias("h"), F.slice(F.split(own, r"\s+"), 1, 8).alias("w")).orderBy("h").limit(most)
+    near = docs.select(F.xxhash64(own).alias("h"), F.slice(F.split(own, r"\s+"), 1, 8).alias("w")).dropDuplicates(["h"]).withColumn("made", F.lit(0))
+    spare = docs.sparkSession.range(most).select(F.xxhash64(F.lit("spare"), "id").alias("h"), F.array().cast("array<string>").alias("w"), F.lit(1).alias("made"))
+    near = near.unionByName(spare).orderBy("made", "h").limit(most).drop("made")
     near = near.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(13))))
     h = lambda salt: F.sha1(F.concat_ws("/", F.lit(salt), F.col("h").cast("string"), F.col("kind").cast("string")).cast("binary"))
     b64 = lambda salt: F.base64(F.unhex(h(salt)))
@@ -121,7 +123,7 @@ def labelled_findings(docs: DataFrame, text: str = "text", most: int = MAX_FINDI
         (F.concat(pick("build", "release", "image"), F.lit("-2024-"), F.substring(h("s"), 1, 2), pick("-final", "-test", "-sample")), 0, F.concat(pick("version", "file", "see"), F.lit(" {}"))),
     ]
     cell = functools.reduce(lambda c, k: c.when(F.col("kind") == k[0], F.struct(k[1][0].alias("value"), F.lit(k[1][1]).alias("label"), k[1][2].alias("form"))), enumerate(kinds), F)
-    path = pick("src/main.py", "conf/prod.env", "src0", "src1", "tests/test_a.py", "docs/guide.md", "src2", "notes.txt")
+    path = pick("src/main.py", "conf/prod.env", "lib/util.go", "app/server.rb", "tests/test_a.py", "docs/guide.md", "web/index.js", "notes.txt")
     return near.withColumn("c", cell).select(
         F.concat_ws(" ", F.slice("w", 1, 4), F.replace(F.col("c.form"), F.lit("{}"), F.col("c.value")), F.slice("w", 5, 4)).alias("text"), path.alias("path"), F.col("c.value").alias("value"), F.col("c.label").alias("label")
     )

@@ -51,3 +51,10 @@ def test_stage_keeps_every_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = secret_stage(spark, docs, "/root/testdata/sf0.001")
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_findings_differ_where_one_text_fills_the_table(spark):
+    rows = [(i, "one text that fills the table" if i % 10 else f"text {i} of its own", "en", "src0", 1) for i in range(400)]
+    found = labelled_findings(frame(spark, rows), most=100).collect()
+    assert len(found) == 1400 and len({r.value for r in found if r.label}) == 700
+    assert not {r.path for r in found} & {"src0", "src1", "src2"}
