@@ -58,3 +58,7 @@ def test_findings_differ_where_one_text_fills_the_table(spark):
     found = labelled_findings(frame(spark, rows), most=100).collect()
     assert len(found) == 1400 and len({r.value for r in found if r.label}) == 700
     assert not {r.path for r in found} & {"src0", "src1", "src2"}
+
+
+def test_stage_on_an_empty_table(spark):
+    assert secret_stage(spark, frame(spark, []), "").collect() == []
