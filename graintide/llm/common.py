@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,5 +35,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: tuple[str, object] | None = None
+
+
+def resident(name: str, make: Callable[[], object]):
+    """The worker's one long-lived object (a tokenizer or a memo), made anew when another kind was held.
+
+    Python workers live on from stage to stage, so what one stage remembers is let
+    go, and its memory given back, when the next asks for its own.
+    """
+    global _held
+    if _held is None or _held[0] != name:
+        if _held is not None:
+            _held = None
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+        _held = (name, make())
+    return _held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,29 +2,33 @@
 
 The k-mers of a text are its runs of three words, each labelled with its
 occurrence number.  One changed word touches three of them, so at a similarity of
-0.8 at least 2 of 5 are left wherever the changes stand, and the number of sketches
-is set for a recall of 0.99 there.  Texts below 20 words are met with certainty: two
-texts of at most M words at distance M // 5 share a run of M - M // 5 words left by
-deletions, and every such run is a value.  Every sketch takes the two k-mers of least hash and keeps
-them in text order, so two texts share a sketch only if they share k-mers in the
-same order.  All texts that share a sketch's value are candidates of each other.
-A candidate pair is a link if a banded alignment of its words finds an edit
-similarity of 0.8 or more.  Classes are the connected components.
-
-Pairs are met by rounds.  In the first every value has one centre, another order
-for each value; each text's best centre is aligned, then only the pairs that the
-links so far leave in different classes.  Each later round drops the values that
-hold a single class, and elects new centres, four times as many as in the round
-before, among the rows that were none; they meet all other rows of the value in
-other classes.  Rounds end when no value has an untested pair of classes, so a
-group of copies is contracted early and only texts that don't link cost a pair each.
+0.8 at least 2 of 5 are left wherever the changes stand (of runs of five words there
+may be none), and the number of sketches is set for a recall of 0.98 there.  Every
+sketch takes the two k-mers of least hash and keeps them in text order, so two texts
+share a sketch's value only if they share k-mers in the same order.  Pairs of at most
+EXACT words are met with certainty by pigeonhole: a text in d + 1 segments keeps one of
+them through d edits.
+
+All texts that share a value are candidates of each other; a candidate pair is a
+link if a banded alignment of its words finds an edit similarity of 0.8 or more.
+Classes are the connected components.  Two steps meet all candidates without a row
+for each of them:
+
+* every value elects a centre; each text is aligned with the centre it shares most
+  values with, then with its other centres in other classes, so groups of copies
+  become one class for a row a text and value;
+* where a value still holds several classes, its rows go to one task (to one of
+  several, by pairs of blocks, if they are many), which compares the word counts of
+  all pairs of different classes.  Only pairs that these don't rule out, at the first
+  sketch they share, leave the task for alignment.
 
 Equal texts are one node from the start and are never paired.  The edit
 similarity of texts with n and m words at word distance d is 1 - d / max(n, m).
 
 Defined cases: a null text is a class of its own; empty texts are equal to each
-other; a text without words links to its equals only; repeated rows are equal texts; an empty table gives an empty result.
-Other columns, whatever their names, are carried along unread.
+other; a text without words links to its equals only; repeated rows are equal texts;
+an empty table gives an empty result.  Other columns, whatever their names, are
+carried along unread.
 """
 
 from __future__ import annotations
@@ -36,24 +40,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graintide.llm.common import keep, table
+from graintide.llm.common import keep, resident, table
 
 WORDS = 3
 #: Sketches of a text of LONG k-mers or more, and of a shorter one.  With the share j of common k-mers, s sketches meet with
 #: 1 - (1 - j * j) ** s; the changes placed worst leave j * j = 0.035 at 20 words and 0.057 at 100.
 SKETCHES, SHORT_SKETCHES, LONG = 80, 132, 100
 #: Pairs of at most this many words are met with certainty.
-EXACT = 19
+EXACT = 24
 #: At most one word in this many differs between linked texts: a similarity of 0.8.
 ONE_IN = 5
-#: Buckets of a text's word counts, compared before texts are fetched for alignment.
-BAG = 128
-_MEMO = 400_000
+#: Buckets of a text's word counts, and of the finer counts of a text of FINE words or more.
+BAG, WIDE, FINE = 128, 1024, 160
+#: Rows of a value that one block holds; larger values are compared by pairs of blocks.
+BLOCK = 2_000
+_MEMO = 200_000
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
+#: Copies of a class's first row when its members look up their class.
+SALTS = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -63,34 +71,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _odd(rng: np.random.Generator, n: int) -> np.ndarray:
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@functools.cache
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the segments of n words, one more than the edits that a pair of n words may have."""
+    parts = n // ONE_IN + 1
+    ends = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in itertools.pairwise(ends)]
+
+
 @functools.cache
-def left(n: int, m: int) -> np.ndarray:
-    """Every choice of m of n places, in order."""
-    return np.array(list(itertools.combinations(range(n), m)), np.int64).reshape(-1, m)
+def probes(m: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, starts and labels of the runs by which m words meet every text of m to EXACT words.
+
+    A run stands for segment i of a text of n words.  At most i edits lie before
+    the first segment that is kept, at most d - i after it, for d edits in all.
+    """
+    found: dict[int, list[tuple[int, int]]] = {}
+    for n in range(m, EXACT + 1):
+        d = n // ONE_IN
+        if n - m > d:
+            continue
+        for i, (at, size) in enumerate(segments(n)):
+            low, high = max(0, at - i, at + m - n - (d - i)), min(m - size, at + i, at + m - n + (d - i))
+            found.setdefault(size, []).extend((q, 64 * n + i) for q in range(low, high + 1))
+        if n == m:
+            for i, (at, size) in enumerate(segments(n)):
+                found.setdefault(size, []).append((at, 64 * n + i))
+    return [(size, np.array([q for q, _ in own]), np.array([t for _, t in own], np.uint64)) for size, own in found.items() if own]
+
+
+class _Ids(dict):
+    """Hash of each word met."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
 
 
 class Sketcher:
-    def __init__(self, sketches: int = SHORT_SKETCHES, seed: int = 5) -> None:
+    def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.step = rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.factor = (rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-        self.place = rng.integers(1, 2**63, EXACT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.words: dict[str, int] = {}
+        self.step = _odd(rng, WORDS)
+        self.factor = _odd(rng, SHORT_SKETCHES)[:, None]
+        self.place = _odd(rng, EXACT)
+        self.known = _Ids()
 
     def ids(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known = self.words
-        if len(known) > _MEMO:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+        if len(self.known) > _MEMO:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
-    def kmers(self, text: str) -> np.ndarray:
+    def kmers(self, ids: np.ndarray) -> np.ndarray:
         """Hashes of the occurrence-labelled k-mers in text order."""
-        ids = self.ids(text.split())
         if not len(ids):
             return np.zeros(0, np.uint64)
         n = max(1, len(ids) - WORDS + 1)
@@ -107,27 +145,24 @@ class Sketcher:
             grams[later] = _mix(grams[later] + again[again > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return grams
 
-    def deletions(self, text: str) -> np.ndarray:
-        """Hashes of the runs of words that a pair of at most EXACT words shares if it links."""
-        ids = self.ids(text.split())
-        n = len(ids)
-        lengths = {longest - longest // ONE_IN for longest in range(n, EXACT + 1)} if n else set()
-        out = [_mix((ids[left(n, m)] * self.place[:m]).sum(1) + _mix(np.array([m], np.uint64))) for m in lengths if m <= n]
-        return np.unique(np.concatenate([*out, np.zeros(0, np.uint64)])).view(np.int64)
-
-    def values(self, text: str) -> np.ndarray:
-        """Everything that candidates share: deletions, and sketches where a linked text may be longer than EXACT."""
-        n = len(text.split())
-        own = self.sketch(text) if n >= EXACT + 1 - (EXACT + 1) // ONE_IN else np.zeros(0, np.int64)
-        return np.concatenate([self.deletions(text), own])
-
-    def sketch(self, text: str) -> np.ndarray:
-        grams = self.kmers(text)
-        n = len(grams)
-        if not n:
+    def near(self, ids: np.ndarray) -> np.ndarray:
+        """Values by which a text of at most EXACT words meets every text of at most EXACT words that it may link to."""
+        out = [np.zeros(0, np.uint64)]
+        for size, starts, labels in probes(len(ids)) if 0 < len(ids) <= EXACT else ():
+            run = np.zeros(len(starts), np.uint64)
+            for k in range(size):
+                run += ids[starts + k] * self.place[k]
+            out.append(_mix(_mix(run) + labels))
+        return np.unique(np.concatenate(out)).view(np.int64)
+
+    def sketch(self, ids: np.ndarray) -> np.ndarray:
+        """Values of the sketches; none where ``near`` meets all that may link."""
+        if len(ids) < EXACT + 1 - (EXACT + 1) // ONE_IN:
             return np.zeros(0, np.int64)
+        grams = self.kmers(ids)
+        n = len(grams)
         out = []
-        step = max(1, 4_000_000 // n)
+        step = max(1, 2_000_000 // n)
         factor = self.factor if n < LONG else self.factor[:SKETCHES]
         for k in range(0, len(factor), step):
             h = grams * factor[k : k + step]
@@ -135,23 +170,19 @@ class Sketcher:
             one = h.argmin(1)
             if n > 1:
                 h[rows, one] = np.uint64(2**64 - 1)
-                two = h.argmin(1)
-            else:
-                two = one
+            two = h.argmin(1)
             first, second = np.minimum(one, two), np.maximum(one, two)
             out.append(_mix(grams[first] * np.uint64(3) + _mix(grams[second])))
         values = np.concatenate(out)
         return _mix(values + np.arange(1, len(values) + 1, dtype=np.uint64)).view(np.int64)
 
-    def bag(self, text: str) -> bytes:
-        """Counts of the text's words by hash, BAG bytes that stop at 255, and the number of words."""
-        ids = self.ids(text.split())
-        return np.minimum(np.bincount((_mix(ids) % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes() + len(ids).to_bytes(4, "little")
+    def bag(self, ids: np.ndarray, buckets: int = BAG) -> bytes:
+        """Counts of the words by hash, a byte a bucket that stops at 255."""
+        return np.minimum(np.bincount((_mix(ids) % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
-@functools.cache
 def sketcher() -> Sketcher:
-    return Sketcher()
+    return resident("sketcher", Sketcher)
 
 
 def banded_distance(a: list, b: list, band: int) -> int:
@@ -204,7 +235,7 @@ def similar(a: list[str], b: list[str]) -> bool:
     return banded_distance(a, b, band) <= band
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (u, v); root is the least node of the component.
 
     Alternates large-star and small-star steps, each a minimum per node and a join,
@@ -212,19 +243,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     shared folder.
     """
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(most):
-        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
-        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1 and below > 0").isEmpty():
+    while True:
+        below = now.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("below"))
+        above = now.select(F.col("v").alias("x")).distinct()
+        if below.filter("below > 1").isEmpty() and below.join(above, "x", "left_semi").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = keep(large.filter("u > v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = keep(small.filter("u > v").distinct(), "small")
-    roots = now.groupBy("u").agg(F.min("v").alias("root"))
-    return keep(roots.select(F.col("u").alias("node"), "root"), "roots")
+        small = large.join(least, "u").select("v", F.col("m")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct(), "small")
+    return keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
 
 
 def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,25 +268,115 @@ def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    take, bag = sketcher().values, sketcher().bag
+    own = sketcher()
+    lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
     for batch in batches:
-        texts = [x.as_py() or "" for x in batch.column(1)]
-        rows = [take(x) for x in texts]
-        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag(x) for x in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rid", "bag", "sketch"])
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            ids = [own.ids(x.split()) for x in part.column(1).to_pylist()]
+            bags = pa.array([own.bag(x) for x in ids], pa.binary())
+            wide = pa.array([own.bag(x, WIDE) if len(x) >= FINE else None for x in ids], pa.binary())
+            columns = [part.column(0), pa.array([len(x) for x in ids], pa.int32()), bags, wide, lists([own.sketch(x) for x in ids]), lists([own.near(x) for x in ids])]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "n", "bag", "wide", "sketch", "near"])
+
+
+def _bytes(column: pa.Array, width: int, kind: str = "u1") -> np.ndarray:
+    """Rows of a binary column as numbers; shorter values are filled up with zeros."""
+    return np.frombuffer(b"".join([(x or b"").ljust(width, b"\0") for x in column.to_pylist()]), kind).reshape(column.__len__(), -1)
+
+
+def _short_by(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number of edits that the word counts of each pair of rows ask for."""
+    less = a.astype(np.int16) - b
+    return np.maximum(np.maximum(less, 0).sum(1), np.maximum(-less, 0).sum(1))
 
 
 def _near_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bags don't yet rule out the similarity: no word may be short by more than the band."""
+    """Pairs (u, v, a, b, n, m) whose word counts a and b don't yet rule out the similarity."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BAG + 4) for c in (2, 3))
-            n, m = (np.ascontiguousarray(x[:, BAG:]).view("<u4")[:, 0].astype(np.int64) for x in (a, b))
-            less = a[:, :BAG].astype(np.int16) - b[:, :BAG]
-            more = np.maximum(np.maximum(less, 0).sum(1), np.maximum(-less, 0).sum(1))
-            yield part.select(["u", "v"]).filter(pa.array(np.maximum(more, abs(n - m)) <= np.maximum(n, m) // ONE_IN))
+            n, m = (part.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
+            edits = np.maximum(_short_by(_bytes(part.column(2), BAG), _bytes(part.column(3), BAG)), abs(n - m))
+            yield part.select(["u", "v"]).filter(pa.array(edits <= np.maximum(n, m) // ONE_IN))
+
+
+class _Rows:
+    """Rows of whole values (value, turn_a, turn_b, block, rid, root, n, bag, wide, sketch), sorted by the first three."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        number = lambda c: rows.column(c).to_numpy()
+        self.value, self.turns = number("value"), (number("turn_a"), number("turn_b"))
+        self.block, self.rid, self.root, self.n = (number(c) for c in ("block", "rid", "root", "n"))
+        whole = lambda c: rows.column(c).combine_chunks()
+        self.bag, self.wide = _bytes(whole("bag"), BAG), _bytes(whole("wide"), WIDE)
+        sketch = rows.column("sketch").to_pylist()
+        self.sketch = np.array([x + [0] * (SHORT_SKETCHES - len(x)) for x in sketch], np.int64).reshape(len(sketch), -1)
+        # the place of the value among its row's sketches; SHORT_SKETCHES for the values of ``near``
+        hit = self.sketch == self.value[:, None]
+        self.place = np.where(hit.any(1), hit.argmax(1), SHORT_SKETCHES)
+
+    def ends(self) -> np.ndarray:
+        a, b = self.turns
+        return np.flatnonzero(np.append((self.value[1:] != self.value[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)) + 1
+
+    def left(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows i, j those in different classes that the word counts allow, where they first meet."""
+
+        def only(good: np.ndarray) -> None:
+            nonlocal i, j
+            i, j = i[good], j[good]
+
+        a, b = self.turns
+        only((self.root[i] != self.root[j]) & ((a[i] == b[i]) | (self.block[i] != self.block[j])))
+        band = lambda: np.maximum(self.n[i], self.n[j]) // ONE_IN
+        only(abs(self.n[i] - self.n[j]) <= band())
+        only(_short_by(self.bag[i], self.bag[j]) <= band())
+        only((self.n[i] < FINE) | (self.n[j] < FINE) | (_short_by(self.wide[i], self.wide[j]) <= band()))
+        same = (self.sketch[i] == self.sketch[j]) & (self.sketch[i] != 0)
+        only(np.where(same.any(1), same.argmax(1), SHORT_SKETCHES) == self.place[i])
+        return self.rid[i], self.rid[j]
+
+
+def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of each group, about ``most`` at a time."""
+    sizes = ends - starts
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[sizes == size]
+        if size * (size - 1) // 2 <= most:
+            a, b = np.triu_indices(size, 1)
+            step = max(1, most // len(a))
+            for k in range(0, len(own), step):
+                yield (own[k : k + step, None] + a).ravel(), (own[k : k + step, None] + b).ravel()
+        else:
+            step = max(1, most // size)
+            for s in own.tolist():
+                for k in range(0, size, step):
+                    i, j = np.meshgrid(np.arange(k, min(k + step, size)), np.arange(k, size), indexing="ij")
+                    yield s + i[i < j], s + j[i < j]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of different classes that share a value and may link, of rows sorted by value."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 4096:
+                continue
+        if not held:
+            continue
+        whole = pa.Table.from_batches(held)
+        held = []
+        rows = _Rows(whole)
+        ends = rows.ends()
+        if batch is not None:  # the last value may go on
+            cut = int(ends[-2]) if len(ends) > 1 else 0
+            held, ends = whole.slice(cut).to_batches(), ends[:-1]
+        for i, j in _pairs_within(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else ():
+            u, v = rows.left(i, j)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,90 +396,107 @@ def _marked(rows: DataFrame, ids: DataFrame, most: int = MASK_ROWS) -> DataFrame
     return found.withColumn("marked", F.expr("coalesce(shiftrightunsigned(_mask, cast(rid & 63 as int)) & 1L, 0L) = 1L")).drop("_block", "_mask")
 
 
-def _links(pairs: DataFrame, bags: DataFrame, texts: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame, side: DataFrame, value: str, *more: str) -> DataFrame:
+    """pairs (u, v) with both ends' value as a, b, and another column of theirs as n, m."""
+    out = pairs.select("u", "v")
+    for end, *names in (("u", "a", "n"), ("v", "b", "m")):
+        out = out.join(side.select(F.col("rid").alias(end), *[F.col(c).alias(x) for c, x in zip((value, *more), names)]), end)
+    return out.select("u", "v", "a", "b", *("n", "m")[: 2 * len(more)])
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts align."""
+    return keep(_ends(pairs, texts, "text").mapInArrow(_aligned, "u long, v long"), "links")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the root of their key: the key itself where it has no link."""
+    own = roots.select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return rows.join(own, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+
+
+def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """roots after every pair of values' rows (value, rid) that share a value is ruled out, aligned or within one class."""
+    named = _rooted(values, roots, "rid", "root")
+    same = Window.partitionBy("value")
+    live = named.withColumn("least", F.min("root").over(same)).withColumn("most", F.max("root").over(same)).withColumn("size", F.count(F.lit(1)).over(same))
+    live = keep(live.filter("least < most").select("value", "rid", "root", "size"), "live")
+    if live.isEmpty():
+        return roots
+    found = _marked(sketches, live.select("rid").distinct()).filter("marked").select("rid", "n", "bag", "wide", "sketch")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    live = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
+    rows = dealt.join(found, "rid").repartition("value", "turn_a", "turn_b").sortWithinPartitions("value", "turn_a", "turn_b")
+    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "sketch").mapInArrow(_met, "u long, v long")
+    links = _links(keep(pairs.distinct(), "pairs"), texts)
+    return roots if links.isEmpty() else contracted(roots, links)
+
 
-    def joined(rows: DataFrame, side: DataFrame, value: str) -> DataFrame:
-        left = side.select(F.col("rid").alias("u"), F.col(value).alias("a"))
-        right = side.select(F.col("rid").alias("v"), F.col(value).alias("b"))
-        return rows.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-
-    near = keep(joined(pairs, bags, "bag").mapInArrow(_near_bags, "u long, v long"), "near")
-    return keep(joined(near, texts, "text").mapInArrow(_aligned, "u long, v long"), "links")
-
-
-def _rest(met: DataFrame, tested: DataFrame, roots: DataFrame, bags: DataFrame, texts: DataFrame) -> DataFrame:
-    """roots after every pair of met's rows (value, rid) that share a value is aligned or within one class."""
-    live = met
-    for k in itertools.count():
-        named = live.join(roots, F.col("rid") == F.col("node"), "left").select("value", "rid", F.coalesce("root", "rid").alias("root"))
-        mixed = named.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("value")
-        live = keep(named.join(mixed, "value"), "live")
-        if live.isEmpty():
-            return roots
-        turn = F.shiftrightunsigned(F.xxhash64(F.lit(k), "value"), 1)
-        deal = F.pmod(F.xxhash64("value", F.lit(k), "rid"), F.lit(4 ** min(k, 30)))
-        least = live.groupBy("value", deal.alias("deal")).agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"))
-        elected = keep(least.select("value", F.col("least").bitwiseXOR(turn).alias("rid"), F.lit(True).alias("centre")), "elected")
-        live = keep(live.join(elected, ["value", "rid"], "left"), "elect")
-        centres = live.filter("centre").select("value", F.col("rid").alias("c"), F.col("root").alias("root_c"))
-        pairs = live.join(centres, "value").filter("root != root_c and (centre is null or rid < c)").select(F.least("rid", "c").alias("u"), F.greatest("rid", "c").alias("v")).distinct()
-        pairs = keep(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = _links(pairs, bags, texts)
-        if not links.isEmpty():
-            roots = contracted(roots, links)
-        tested = tested.unionByName(pairs)
-        live = live.filter("centre is null").select("value", "rid")
-
-
-def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, membership): the rows of docs with a number ``_rid``, and (rid, root) by number.
+def _free(name: str, taken: list[str]) -> str:
+    """name, or name with as many underscores as make it differ from the taken ones."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def classes(docs: DataFrame, text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame, str]:
+    """(rows, membership, number): the rows of docs with a row number of that name, and (rid, root) by number.
 
     The root is the least number of the class.
     """
-    rows = keep(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    own = rows.select(F.col("_rid").alias("rid"), F.col(text).cast("string").alias("text"))
+    number = _free("_rid", docs.columns)
+    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col(number).alias("rid"), F.col(text).cast("string").alias("text"))
     given = own.filter(F.col("text").isNotNull())
     hashes = given.select("rid", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     copies = keep(hashes.groupBy("h1", "h2").agg(F.min("rid").alias("uid"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copies")
     members = keep(hashes.join(copies, ["h1", "h2"], "left").select("rid", F.coalesce("uid", "rid").alias("uid")), "members")
 
     unique = _marked(given, members.filter("rid != uid").select("rid")).filter("not marked")
-    single = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, bag binary, sketch array<long>"), "sketches")
-    bags, single = single.select("rid", "bag"), single.select("rid", F.explode("sketch").alias("value"))
+    sketches = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, n int, bag binary, wide binary, sketch array<long>, near array<long>"), "sketches")
+    single = sketches.select("rid", F.explode(F.concat("sketch", "near")).alias("value"))
     turn = F.shiftrightunsigned(F.xxhash64("value"), 1)
-    centres = keep(single.groupBy("value").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", F.col("least").bitwiseXOR(turn).alias("centre"), "n"), "centres")
-    met = keep(single.join(centres.withColumnRenamed("n", "size"), "value").filter("rid != centre"), "met")
-    pairs = keep(met.groupBy(F.least("rid", "centre").alias("u"), F.greatest("rid", "centre").alias("v")).agg(F.count(F.lit(1)).alias("n")), "pairs")
-
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
-    texts = keep(_marked(given, nodes).filter("marked").drop("marked"), "texts")
-    ends = pairs.select("n", F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e"))
-    best = ends.groupBy("e.x").agg(F.max(F.struct("n", F.col("e.y").alias("y"))).alias("top")).select(F.least("x", "top.y").alias("u"), F.greatest("x", "top.y").alias("v")).distinct()
-    links = _links(best, bags, texts)
-    roots = components(links)
-    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(name("u"), "u", "left").join(name("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    later = _links(rest.join(best, ["u", "v"], "left_anti"), bags, texts)
+    centres = single.groupBy("value").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", F.col("least").bitwiseXOR(turn).alias("centre"))
+    met = keep(single.join(keep(centres, "centres"), "value"), "met")
+
+    texts = keep(_marked(given, met.select("rid").distinct()).filter("marked").drop("marked"), "texts")
+    pair = (F.least("rid", "centre").alias("u"), F.greatest("rid", "centre").alias("v"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = _ends(pairs, sketches, "bag", "n").mapInArrow(_near_bags, "u long, v long")
+        return _links(keep(near, "near"), texts)
+
+    often = met.filter("rid != centre").groupBy("rid", "centre").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("rid").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")).select(*pair).distinct()
+    roots = components(linked(best))
+    apart = _rooted(_rooted(met.filter("rid != centre"), roots, "rid", "root"), roots, "centre", "root_c").filter("root != root_c")
+    later = linked(apart.select(*pair).distinct())
     if not later.isEmpty():
         roots = contracted(roots, later)
-    roots = _rest(met.filter("size > 2").select("value", "rid"), pairs.select("u", "v"), roots, bags, texts)
+    roots = _rest(met.select("value", "rid"), roots, sketches, texts, block)
 
     found = members.join(roots, F.col("uid") == F.col("node"), "left").select("rid", F.coalesce("root", "uid").alias("root"))
     alone = own.filter(F.col("text").isNull()).select("rid", F.col("rid").alias("root"))
-    return rows, keep(found.unionByName(alone), "classes")
+    return rows, keep(found.unionByName(alone), "classes"), number
 
 
 def op5_order_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class (the doc_id of the class's first row) and whether it is that first row."""
-    rows, found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ids = rows.select(F.col("_rid").alias("rid"), "doc_id")
-    first = ids.join(found.filter("rid = root").select("rid"), "rid").select(F.col("rid").alias("root"), F.col("doc_id").alias("class_id"))
-    return ids.join(found, "rid").join(first, "root").select("doc_id", "class_id", (F.col("rid") == F.col("root")).alias("kept"))
+    rows, found, number = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = rows.select(F.col(number).alias("rid"), "doc_id").join(found, "rid")
+    others = named.filter("rid != root").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    first = named.filter("rid = root").join(others.select("root").distinct(), "root", "left_semi").select("root", F.col("doc_id").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    kept = named.filter("rid = root").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return kept.unionByName(others.join(first, ["root", "salt"]).select("doc_id", "class_id", F.lit(False).alias("kept")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays."""
-    rows, found = classes(docs)
-    gone = found.filter("rid != root").select(F.col("rid").alias("_rid"))
-    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each class stays, the one of least row number.
+
+    Null texts are classes of their own and stay; of equal or empty texts one row
+    stays; an empty table gives an empty result; all columns, whatever their names, are returned.
+    """
+    rows, found, number = classes(docs)
+    gone = found.filter("rid != root").select(F.col("rid").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
