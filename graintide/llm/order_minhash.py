@@ -15,8 +15,8 @@ Classes are the connected components.  Two steps meet all candidates without a r
 for each of them:
 
 * every value elects a centre; each text is aligned with the centre it shares most
-  values with, then with its other centres in other classes, so groups of copies
-  become one class for a row a text and value;
+  values with, then with one centre in another class, then with all that are left in
+  other classes, so groups of copies become one class for a row a text and value;
 * where a value still holds several classes, its rows go to one task (to one of
   several, by pairs of blocks, if they are many), which compares the word counts of
   all pairs of different classes.  Only pairs that these don't rule out, at the first
@@ -470,10 +470,13 @@ def classes(docs: DataFrame, text: str = "text", block: int = BLOCK) -> tuple[Da
     often = met.filter("rid != centre").groupBy("rid", "centre").agg(F.count(F.lit(1)).alias("n"))
     best = often.groupBy("rid").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")).select(*pair).distinct()
     roots = components(linked(best))
-    apart = _rooted(_rooted(met.filter("rid != centre"), roots, "rid", "root"), roots, "centre", "root_c").filter("root != root_c")
-    later = linked(apart.select(*pair).distinct())
-    if not later.isEmpty():
-        roots = contracted(roots, later)
+    for every in (False, True):
+        apart = _rooted(_rooted(met.filter("rid != centre"), roots, "rid", "root"), roots, "centre", "root_c").filter("root != root_c")
+        if not every:  # one centre of another class a text: joins the parts of a large group before all pairs left are met
+            apart = apart.groupBy("rid").agg(F.min_by("centre", F.xxhash64("rid", "centre")).alias("centre"))
+        later = linked(apart.select(*pair).distinct())
+        if not later.isEmpty():
+            roots = contracted(roots, later)
     roots = _rest(met.select("value", "rid"), roots, sketches, texts, block)
 
     found = members.join(roots, F.col("uid") == F.col("node"), "left").select("rid", F.coalesce("root", "uid").alias("root"))
