@@ -1,12 +1,13 @@
 """Exact BPE over a piece model by a table of last tokens.
 
-The text is cut only where no piece of the vocabulary can span (before a word
-mark that follows something else, and around characters the vocabulary lacks,
-which become bytes).  Within a part, an automaton over all pieces reports every
-piece that ends at each position; the prefix ending there has one valid
-encoding, and its last token is the reported piece that is compatible with the
-last token of the prefix before it.  Two tokens are compatible when merging
-their joined text gives just these two.  Ids are then read off backwards.
+The text is cut only where no piece of the vocabulary can span: between two
+characters that stand side by side in no piece, such as a letter and a mark after it
+(a character that the vocabulary lacks is a part of its own and becomes bytes).
+Within a part, an automaton over all pieces reports every piece that ends at each
+position; the prefix ending there has one valid encoding, and its last token is the
+reported piece that is compatible with the last token of the prefix before it.  Two
+tokens are compatible when merging their joined text gives just these two.  Ids are
+then read off backwards.  A worker remembers words and parts, within bounds.
 
 Parts with a run of word marks hold pieces of equal score, where compatibility
 of neighbours alone does not decide; these use the merge loop itself.
@@ -18,7 +19,6 @@ result; columns other than key and text are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graintide.llm.common import table
+from graintide.llm.common import resident, table
 
 MARK = "▁"
-_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries of a worker's memo of parts; it starts anew beyond this.
-MEMO = 300_000
-#: Parts longer than this aren't remembered.
+_SCHEMA = "doc_id long, ids binary, decoded string"
+#: Entries of a worker's memos of words and of parts; each starts anew beyond this.
+MEMO = 200_000
+#: Words and parts longer than this aren't remembered.
 MEMO_CHARS = 64
 
 
@@ -60,15 +61,17 @@ class PieceTable:
                 self.score[p] = sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a word mark; texts can't be cut there")
-        known = "".join(re.escape(p) for p in self.ids if len(p) == 1)
-        self.runs = re.compile(f"([{known}]+)")
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        if any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("a character of a piece is no piece itself")
+        self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.atoms: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, text: str) -> list[int]:
         """The merge loop: best score first, then leftmost."""
@@ -96,12 +99,11 @@ class PieceTable:
         return [self.ids[s] for s in sym if s is not None]
 
     def fits(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            want = [b] if a < 0 else [a, b]
-            known = self.pairs[key] = self.merged("".join(self.pieces[i] for i in want)) == want
+        """Whether merging the texts of tokens a and b (a < 0: of b alone) gives just these."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        want = [b] if a < 0 else [a, b]
+        known = self.pairs[a << 32 | b] = self.merged("".join(self.pieces[i] for i in want)) == want
         return known
 
     def tabled(self, text: str) -> list[int]:
@@ -110,10 +112,16 @@ class PieceTable:
             return self.merged(text)
         last = [-2] * (len(text) + 1)
         last[0] = -1
-        fits = self.fits
+        known, fits = self.pairs.get, self.fits
         for end, (size, i) in self.automaton.iter(text):
             before = last[end + 1 - size]
-            if before != -2 and last[end + 1] == -2 and fits(-1, i) and (before == -1 or fits(before, i)):
+            if before == -2 or last[end + 1] != -2:
+                continue
+            if (good := known(-1 << 32 | i)) is None:
+                good = fits(-1, i)
+            if good and before >= 0 and (good := known(before << 32 | i)) is None:
+                good = fits(before, i)
+            if good:
                 last[end + 1] = i
         out, at = [], len(text)
         while at:
@@ -123,24 +131,38 @@ class PieceTable:
             at -= len(self.pieces[last[at]])
         return out[::-1]
 
-    def part_ids(self, part: str) -> list[int]:
-        out: list[int] = []
-        for k, run in enumerate(self.runs.split(part)):
-            if k % 2:
-                out += self.tabled(run)
-            else:
-                out += [self.byte_id[b] for b in run.encode()]
+    def parts_of(self, word: str) -> list[str]:
+        """The word cut between characters that are neighbours in no piece."""
+        beside, out, start = self.beside, [], 0
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in beside:
+                out.append(word[start:k])
+                start = k
+        out.append(word[start:])
         return out
 
-    def _part(self, part: str) -> tuple[bytes, str]:
-        got = self.memo.get(part)
+    def part(self, part: str) -> tuple[bytes, str]:
+        """Packed ids of a part and the text decoded from them."""
+        got = self.atoms.get(part)
         if got is None:
-            ids = self.part_ids(part)
+            ids = self.tabled(part) if part[0] in self.ids else [self.byte_id[b] for b in part.encode()]
             got = struct.pack(f"<{len(ids)}I", *ids), self.raw_text(ids)
             if len(part) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[part] = got
+                if len(self.atoms) >= MEMO:
+                    self.atoms.clear()
+                self.atoms[part] = got
+        return got
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """The same of a run that starts with its word marks."""
+        got = self.words.get(word)
+        if got is None:
+            parts = [self.part(p) for p in self.parts_of(word)]
+            got = parts[0] if len(parts) == 1 else (b"".join([x[0] for x in parts]), "".join([x[1] for x in parts]))
+            if len(word) <= MEMO_CHARS:
+                if len(self.words) >= MEMO:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
     def raw_text(self, ids: list[int]) -> str:
@@ -174,29 +196,26 @@ class PieceTable:
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         if not text:
             return begin + end, ""
-        got = [self._part(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
+        known, word = self.words.get, self.word
+        got = [known(w) or word(w) for w in self.cut.findall(MARK + text.replace(" ", MARK))]
         decoded = "".join([x[1] for x in got])
         return b"".join([begin, *[x[0] for x in got], end]), decoded[1:]
 
 
-@functools.cache
 def piece_table(model: str) -> PieceTable:
-    return PieceTable(model)
+    return resident(f"pieces {model}", lambda: PieceTable(model))
 
 
 def encode_decode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per record: count and digest of its ids, digest of the text decoded from them."""
+    """One row per record: its ids (little-endian unsigned 32-bit) and the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(model)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for x in batch.column(1):
-                raw, back = pieces.packed(x.as_py() or "")
-                n.append(len(raw) // 4)
-                ids.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, back = zip(*[pieces.packed(x or "") for x in part.column(1).to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
@@ -204,4 +223,5 @@ def encode_decode(df: DataFrame, model: str, key: str = "doc_id", text: str = "t
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    got = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
