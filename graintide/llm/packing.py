@@ -7,7 +7,10 @@ their own.  The others are dealt by hash into partitions of about
 functions give a lower bound on each partition's bins.  A partition that meets
 its bound is done.  In partitions with a gap, the pieces of the bins that are
 not full are put up for exchange: they are dealt anew over fewer, fuller
-partitions and packed again, for ``rounds`` rounds.  Bins once full stay.
+partitions and packed again, for ``rounds`` rounds.  Bins once full stay.  The last round's bins
+stay as they are; each piece carries its partition's bins and bound, so a gap shows.
+Tokens' own texts in a document (such as an end-of-text mark) get their special ids, as
+the tokenizer does by default.
 
 Defined cases: null text counts as empty and is one piece of one id; equal
 documents are packed as separate pieces; an empty table gives an empty result;
@@ -28,17 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm.common import keep, table
+from graintide.llm.common import keep, resident, table
 
 CAPACITY = 4096
 _PIECES = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long"
 #: Words remembered in each of two generations; a word met again moves to the younger one.
-MEMO = 600_000
+MEMO = 300_000
 MEMO_CHARS = 64
 
 
+#: Letters up to here lower one by one and compose no further, whatever stands beside them.
+_PLAIN = "\u0250"
+
+
 class WordTokenizer:
-    """Ids of a tokenizer whose words never span white space, remembered by word."""
+    """Ids of a tokenizer whose words never span white space, remembered by word.
+
+    Texts that hold a special token's own text go to the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         import regex
@@ -47,19 +57,34 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        self.odd = regex.compile(r"[\x1c-\x1f]")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        """The words, in lower case where that can't change their ids."""
+        if self.odd.search(text):  # white space to Python alone
+            return self.words.findall(text)
+        if text and "\u0130" not in text and max(text) < _PLAIN:
+            text = text.lower()
+        return text.split()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [self.words.findall(t) for t in texts]
+        whole = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
+        split = [[] if k in whole else self.split(t) for k, t in enumerate(texts)]
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         new = []
-        for w in {w for ws in split for w in ws if w not in memo}:
+        for w in set().union(*split):
+            if w in memo:
+                continue
             if (known := older.get(w)) is None:
                 new.append(w)
             else:
@@ -67,16 +92,19 @@ class WordTokenizer:
         long = {}
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (memo if len(w) <= MEMO_CHARS else long)[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            for w, ids in zip(part, self._encoded(part), strict=True):
+                (memo if len(w) <= MEMO_CHARS else long)[w] = ids
         if long:
-            return [b"".join([memo[w] if len(w) <= MEMO_CHARS else long[w] for w in ws]) for ws in split]
-        return [b"".join([memo[w] for w in ws]) for ws in split]
+            out = [b"".join([memo[w] if len(w) <= MEMO_CHARS else long[w] for w in ws]) for ws in split]
+        else:
+            out = [b"".join(map(memo.__getitem__, ws)) for ws in split]
+        for k in whole:
+            out[k] = self._encoded([texts[k]])[0]
+        return out
 
 
-@functools.cache
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return resident(f"words {path}", lambda: WordTokenizer(path))
 
 
 def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +189,7 @@ def _packer(capacity: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = 20_000, rounds: int = 3) -> DataFrame:
-    """Sequence and offset of every piece.
+    """Sequence and offset of every piece, and bins and bound of the partition that it was packed in last.
 
     A partition holds about ``part_items`` pieces whatever the input's size, so a
     task's memory is bounded; each round keeps what is settled and deals the rest anew.
@@ -169,7 +197,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = 20_000,
     key = F.xxhash64("doc_id", "dup", "piece")
     row = ["doc_id", "dup", "piece", "start", "length", "ids_crc32"]
     full = pieces.filter(F.col("length") == capacity)
-    done = [full.select(*row, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    one = F.lit(1).cast("long")
+    done = [full.select(*row, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_bins"), one.alias("part_bound"))]
     rest = pieces.filter(F.col("length") < capacity)
     schema = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long, part int, bin long, offset long, settled boolean, bins long, bound long"
     for k in range(rounds):
@@ -177,12 +206,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = 20_000,
         last = k == rounds - 1 or parts == 1
         dealt = rest.select(*row, F.pmod(F.xxhash64(F.lit(k), key), F.lit(parts)).cast("int").alias("part"))
         packed = keep(dealt.groupBy("part").applyInPandas(_packer(capacity, last), schema), f"packed{k}")
-        done.append(packed.filter("settled").select(*row, (F.lit(k << 58) + F.col("part").cast("long") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
+        done.append(packed.filter("settled").select(*row, (F.lit(k << 58) + F.col("part").cast("long") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound")))
         if last:
             break
         rest = packed.filter("not settled").select(*row)
     every = functools.reduce(DataFrame.unionByName, done)
-    return every.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return every.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +221,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' pieces with their sequences."""
+    """Pipeline stage: the documents' pieces with their sequences.
+
+    Null and empty texts are one piece of the end id; equal documents are packed each;
+    an empty table gives an empty result; other columns are not read.
+    """
     import public_tokenizers
 
     return pack(keep(cut(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))

@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def want(rows, capacity=4096):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out = Counter()
     for k, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -55,6 +54,20 @@ def test_documents_in_small_partitions(spark):
     assert bound <= n <= 1.02 * bound + 1
 
 
+def test_special_tokens_and_odd_letters_as_in_the_library(spark):
+    odd = ["a<|endoftext|>b", "<|startoftext|>", "x <|endoftext|>\u3000y", "DON'T can'T", "\u0130! \u03a3\u03a3 \u03c2", "e\u0301 \x1c a\x1fb", "ÀÉ\u017f's", "\u212a"]
+    rows = list(enumerate(odd))
+    got = pack(cut(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want(rows)
+
+
+def test_partitions_carry_their_certificate(spark):
+    got = pack(cut(spark.createDataFrame(texts("sf0.01"), "doc_id long, text string"), PATH), part_items=200).collect()
+    assert all(r.part_bound <= r.part_bins for r in got)
+    gaps = {(r.part_bins, r.part_bound) for r in got}
+    assert sum(b == n for n, b in gaps) >= len(gaps) / 2 and all(n <= 1.02 * b + 1 for n, b in gaps)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     for _ in range(50):
