@@ -14,6 +14,8 @@ coefficient arrays (spectral selection, successive approximation, end-of-band
 runs), inverts the transform in whole numbers, repeats chroma samples to full size and
 gives RGB.
 
+Media and RGB tensors are columns of the result, so whoever writes it stores them.
+
 Defined cases: null text counts as empty, an empty payload is one unit of bytes
 255; equal texts give equal media; an empty table gives an empty result; columns
 other than key and text are not read.
@@ -40,7 +42,8 @@ SAMPLING = ((2, 2), (2, 2), (1, 1))
 BLOCKS = tuple(a * b for a, b in SAMPLING)
 #: first coefficient, last, high bit, low bit of the scans of each component.
 SCANS = ((0, 0, 0, 1), (1, 5, 0, 1), (6, 63, 0, 0), (0, 0, 1, 0), (1, 5, 1, 0))
-_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, rgb binary, rgb_shape array<int>"
+_MEDIA = "doc_id long, n_bytes long, media binary"
 
 
 def _tables() -> tuple[list[tuple[int, list[int]]], list[tuple[int, list[int]]]]:
@@ -443,33 +446,63 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\xff" * (UNIT - len(raw) if not raw else -len(raw) % UNIT)
 
 
-def media_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as JPEG frames, read these back, and describe payload, media and picture."""
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of about GROUP_BYTES, one value at least."""
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] < GROUP_BYTES):
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def stored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every text as a media column: (doc_id, n_bytes, media), media being its JPEG frames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, raws = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
+            for at, end in _groups([len(x) for x in raws]):
+                yield _batch(_MEDIA, list(zip(keys[at:end], map(len, raws[at:end]), encode([padded(x) for x in raws[at:end]]), strict=True)))
+
+    return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, _MEDIA)
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """Payload digests, RGB tensor (uint8, row by row, with its shape) and features, all from the media column's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = [(k.as_py(), (x.as_py() or "").encode()) for k, x in zip(batch.column(0), batch.column(1), strict=True)]
-            at = 0
-            while at < len(raws):
-                end, size = at, 0
-                while end < len(raws) and (end == at or size + len(raws[end][1]) < GROUP_BYTES):
-                    size += len(raws[end][1])
-                    end += 1
-                own, at = raws[at:end], end
-                media = encode([padded(r) for _, r in own])
-                coef, frames, counts = decode(media)
+            keys, sizes, values = (c.to_pylist() for c in batch.columns)
+            for at, end in _groups([len(x) for x in values]):
+                own = values[at:end]
+                coef, frames, counts = decode(own)
                 back = (coef + 128).astype(np.uint8).tobytes()
                 per = iter(f.units for f in frames)
                 units = [sum(next(per) for _ in range(n)) for n in counts]
+                rgb = unit_rgb(coef, frames)
                 rows, begin = [], 0
-                for (k, r), m, n, f in zip(own, media, units, features(unit_rgb(coef, frames), units), strict=True):
-                    p = back[begin : begin + n * UNIT]
-                    begin += n * UNIT
-                    rows.append((k, len(r), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), f))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+                for k, size, m, n, f in zip(keys[at:end], sizes[at:end], own, units, features(rgb, units), strict=True):
+                    p = back[begin * UNIT : (begin + n) * UNIT]
+                    tensor = rgb[begin : begin + n].transpose(1, 0, 2, 3)
+                    begin += n
+                    rows.append((k, size, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), f, m, tensor.tobytes(), [16, 16 * n, 3]))
+                yield _batch(_SCHEMA, rows)
+
+    return media.mapInArrow(run, _SCHEMA)
+
+
+def media_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store every text in a media column, read that back, and describe payload, media and picture."""
+    return read_back(stored(df, key, text))
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from graintide.llm.progressive_jpeg import Frame, decode, encode, media_features, padded, tensors, unit_rgb, zigzag
+from graintide.llm.progressive_jpeg import Frame, decode, encode, media_features, padded, stored, tensors, unit_rgb, zigzag
 
 from .helpers import ROWS, frame, texts
 
@@ -130,3 +130,11 @@ def test_rows(spark):
     for r in media_features(df).collect():
         assert by.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     assert media_features(frame(spark, [])).collect() == []
+
+
+def test_stored_bytes_and_tensors_are_columns(spark):
+    df = frame(spark)
+    media = stored(df).collect()
+    for r in media_features(df).collect():
+        assert any(r.media == m.media and r.doc_id == m.doc_id for m in media)
+        assert np.array_equal(np.frombuffer(r.rgb, np.uint8).reshape(r.rgb_shape), tensors([bytes(r.media)])[0])
