@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm.common import table
+from graintide.llm.common import resident, table
 
 PASSAGE, SHAPES = 64, 32
 _WORD = 8
@@ -86,14 +86,8 @@ class Encoder:
         return out
 
 
-_encoder: Encoder | None = None
-
-
 def encoder() -> Encoder:
-    global _encoder
-    if _encoder is None:
-        _encoder = Encoder()
-    return _encoder
+    return resident("encoder", Encoder)
 
 
 @dataclass
@@ -166,15 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``max_docs`` labelled documents outside the held-out quarter."""
     known = labels.filter(F.col(label).isNotNull() & ~is_held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(max_docs)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = rows.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))  # one row a key, however often it is repeated
 
     def encode(batches):
         for pdf in batches:
             bags = [encoder().encode(t) for t in pdf["_text"]]
             yield pd.DataFrame({"_key": pdf["_key"], "label": pdf["_label"].astype("int32"), "n": [len(b) for b in bags], "bag": [b.tobytes() for b in bags]})
 
-    got = rows.mapInPandas(encode, "_key long, label int, n int, bag binary").toPandas().sort_values(["_key", "n", "bag"], kind="stable")
-    got = got.drop_duplicates("_key").head(max_docs)
+    got = rows.mapInPandas(encode, "_key long, label int, n int, bag binary").toPandas().sort_values("_key", kind="stable")
     return fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"]], got["label"].to_numpy())
 
 
@@ -199,6 +193,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored below the mark go."""
+    """Pipeline stage: documents scored below the mark go.
+
+    Null and empty texts are scored like others; equal texts fare alike; repeated rows
+    stay or go together; an empty table, or labels of no kind, gives an empty result.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return docs.filter(scorer(model)(F.col("text")) >= ACCEPT)

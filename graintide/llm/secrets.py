@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm.common import table
+from graintide.llm.common import keep, table
 
 _RUN = "[A-Za-z0-9+/_-]"
 VALUE = f"{_RUN}{{12,}}={{0,2}}"
@@ -159,7 +159,8 @@ def train(findings: DataFrame, seed: int = 2) -> Forest:
     from pyspark.ml.feature import VectorAssembler
 
     rows = findings.select("value", "label", F.explode(candidates(F.col("text"), F.col("path"))).alias("c")).filter(F.col("c.value") == F.col("value"))
-    rows = rows.select(F.col("label").cast("double").alias("label"), *[F.col(f"c.{n}").alias(n) for n in FEATURES]).repartition(1).sortWithinPartitions(*FEATURES, "label")
+    rows = rows.select(F.col("label").cast("double").alias("label"), *[F.col(f"c.{n}").alias(n) for n in FEATURES])
+    rows = keep(rows, "findings").repartition(1).sortWithinPartitions(*FEATURES, "label")  # bounded, and read by every pass of the fit
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features"))
     return Forest(model.toDebugString)
 
@@ -186,5 +187,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are blanked out of the texts; every document stays."""
+    """Pipeline stage: secrets are blanked out of the texts; every document stays.
+
+    Null and empty texts stay as they are; equal texts change alike; an empty table
+    gives an empty result; other columns are returned as they were.
+    """
     return redact(docs, train(labelled_findings(docs, most=MAX_FINDINGS // 14)))

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 
+from .helpers import frame
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -24,3 +26,17 @@ def test_stages_and_run(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 4096
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    for rows in (None, []):
+        docs = frame(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            if rows == []:
+                assert out.collect() == []
+            else:
+                docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
