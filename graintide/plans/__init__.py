@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "estimators", "monitoring", "forecasting", "ingestion")
+MODULES = ("relational", "estimators", "monitoring", "forecasting", "ingestion", "files")
 
 
 def load() -> None:

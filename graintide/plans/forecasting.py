@@ -25,7 +25,7 @@ QUALITY = f"win AS (SELECT * FROM ({BACK}) t WHERE back <= 120), pr AS (SELECT c
 NDVI = "ndvi AS (SELECT state, district, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month, AVG(max_price / modal_price - 1) * 10 AS ndvi FROM prices GROUP BY 1, 2, 3, 4)"
 CATEGORICAL = "mix AS (SELECT sub_category, SUM(CASE WHEN order_date < DATE '2000-01-01' THEN 1 ELSE 0 END) AS k0, SUM(CASE WHEN order_date >= DATE '2000-01-01' THEN 1 ELSE 0 END) AS k1 FROM sales GROUP BY 1), sh AS (SELECT sub_category, GREATEST(k0 * 1e0 / NULLIF(SUM(k0) OVER (), 0), 0.001e0) AS p0, GREATEST(k1 * 1e0 / NULLIF(SUM(k1) OVER (), 0), 0.001e0) AS p1 FROM mix)"
 #: The newest absolute persistence residuals (30 % of them), their order statistic at the corrected level.
-CONFORMAL = f"res AS (SELECT commodity, ABS(price - before) AS e, price, before, back, COUNT(*) OVER (PARTITION BY commodity) AS n FROM ({BACK}) t WHERE before IS NOT NULL), cal AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY e) AS i, COUNT(*) OVER (PARTITION BY commodity) AS m FROM res WHERE back <= GREATEST(floor(n * 0.3e0), 1)), half AS (SELECT commodity, MIN(e) AS half_width, MIN(m) AS m FROM cal WHERE i = ceil((m - 1) * LEAST(1e0, ceil((m + 1) * 0.9e0) / m)) + 1 GROUP BY 1)"
+CONFORMAL = f"res AS (SELECT commodity, ABS(price - before) AS e, price, before, back, COUNT(*) OVER (PARTITION BY commodity) AS n FROM ({BACK}) t WHERE before IS NOT NULL), cal AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY e) AS i, COUNT(*) OVER (PARTITION BY commodity) AS m FROM res WHERE n >= 10 AND back <= GREATEST(CASE WHEN (n * 3) % 10 = 5 THEN 2 * floor((n * 3 + 5) / 20e0) ELSE floor((n * 3 + 5) / 10e0) END, 1)), half AS (SELECT commodity, MIN(e) AS half_width, MIN(m) AS m FROM cal WHERE i = ceil((m - 1) * LEAST(1e0, ceil((m + 1) * 0.9e0) / m)) + 1 GROUP BY 1)"
 
 SQL = {
     "monthly_training_series": f"WITH {TRAIN} SELECT commodity, y, m, n_days, {r('price')} AS price, part FROM split",
@@ -34,7 +34,7 @@ SQL = {
     "forecast_metrics": f"WITH {SCORES} SELECT commodity, model, n, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('mape')} AS mape FROM scores",
     "compare_models": f"WITH {SCORES}, best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY {r('mape', 6)}, model) AS place, LEAD({r('mape', 6)}) OVER (PARTITION BY commodity ORDER BY {r('mape', 6)}, model) AS runner_up FROM scores) SELECT commodity, model AS winner, {r('mape')} AS mape, {r('runner_up - mape')} AS lead_pct, CASE WHEN runner_up IS NULL THEN 'only model' WHEN runner_up - mape < 0.0001 THEN 'tie' ELSE 'best' END AS reason FROM best WHERE place = 1",
     "volatility_envelope": f"WITH med AS (SELECT commodity, arrival_date, MEDIAN(modal_price) AS price, STDDEV_POP(modal_price) AS across FROM prices WHERE modal_price > 0 GROUP BY 1, 2), d AS (SELECT *, price - LAG(price) OVER (PARTITION BY commodity ORDER BY arrival_date) AS step, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY arrival_date DESC) AS back FROM med), s AS (SELECT commodity, MAX(CASE WHEN back = 1 THEN price END) AS latest, AVG(step) AS drift, GREATEST(STDDEV_SAMP(step), 0.15e0 * COALESCE(MAX(CASE WHEN back = 1 THEN across END), 0), 1e0) AS sd FROM d GROUP BY 1), k AS ({' UNION ALL '.join(f'SELECT {k} AS ahead' for k in range(1, 15))}) SELECT commodity, ahead, {r('latest + drift * ahead')} AS centre, {r('GREATEST(1e0, latest + drift * ahead - 1.96e0 * sd * SQRT(ahead * 1e0))')} AS low, {r('latest + drift * ahead + 1.96e0 * sd * SQRT(ahead * 1e0)')} AS high FROM s CROSS JOIN k",
-    "split_conformal": f"WITH {CONFORMAL} SELECT h.commodity, h.m AS n_calibration, {r('MIN(h.half_width)')} AS half_width, {r('AVG(CASE WHEN r.e <= h.half_width THEN 1e0 ELSE 0e0 END)')} AS coverage, {r('MAX(CASE WHEN r.back = 1 THEN r.price - h.half_width END)')} AS low, {r('MAX(CASE WHEN r.back = 1 THEN r.price + h.half_width END)')} AS high FROM half h JOIN res r ON r.commodity = h.commodity GROUP BY 1, 2",
+    "split_conformal": f"WITH {CONFORMAL} SELECT h.commodity, h.m AS n_calibration, {r('MIN(h.half_width)')} AS half_width, {r('AVG(CASE WHEN r.back > h.m THEN NULL WHEN r.e <= h.half_width THEN 1e0 ELSE 0e0 END)')} AS coverage, {r('MAX(CASE WHEN r.back = 1 THEN r.price - h.half_width END)')} AS low, {r('MAX(CASE WHEN r.back = 1 THEN r.price + h.half_width END)')} AS high FROM half h JOIN res r ON r.commodity = h.commodity GROUP BY 1, 2",
     "spike_features": f"WITH cutp AS (SELECT commodity, percentile_cont(0.75) WITHIN GROUP (ORDER BY avg_price) AS p75 FROM panel WHERE n >= 3 GROUP BY 1), f AS (SELECT *, LAG(departure_pct, 1) OVER w AS lag1, LAG(departure_pct, 2) OVER w AS lag2, LAG(departure_pct, 3) OVER w AS lag3, AVG(departure_pct) OVER (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll FROM panel WHERE n >= 3 WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month)) SELECT f.commodity, f.state, f.district, f.year, f.month, {r('lag1')} AS lag1, {r('lag2')} AS lag2, {r('lag3')} AS lag3, {r('roll')} AS roll, {r('sin(2 * pi() * f.month / 12)')} AS month_sin, {r('cos(2 * pi() * f.month / 12)')} AS month_cos, CASE WHEN f.avg_price >= c.p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp c ON c.commodity = f.commodity",
     "gpd_tail_fit": f"WITH {PWM} SELECT commodity, n, k AS n_beyond, {r('u')} AS threshold, {r('xi')} AS shape, {r('sigma')} AS scale FROM gpd",
     "evt_var_es": f"WITH {PWM}, q AS (SELECT *, u + sigma / xi * (power(0.01e0 / (k * 1e0 / n), -xi) - 1) AS var99 FROM gpd WHERE ABS(xi) > 1e-6 AND xi < 1) SELECT commodity, {r('var99')} AS var99, {r('(var99 + sigma - xi * u) / (1 - xi)')} AS es99 FROM q",

@@ -45,7 +45,7 @@ SQL = {
     "canonical_state": "SELECT CASE lower(trim(state)) WHEN 'asia' THEN 'Asia' WHEN 'europe' THEN 'Europe' WHEN 'africa' THEN 'Africa' ELSE state END AS state, COUNT(*) AS n FROM prices GROUP BY 1",
     "state_backfill": "WITH lookup AS (SELECT lower(trim(district)) AS k, MIN(state) AS known FROM prices GROUP BY 1), gaps AS (SELECT CASE WHEN src_line % 3 = 0 THEN '' ELSE state END AS state, district FROM prices) SELECT COALESCE(NULLIF(g.state, ''), l.known) AS state, g.district, COUNT(*) AS n, SUM(CASE WHEN g.state = '' AND l.known IS NOT NULL THEN 1 ELSE 0 END) AS matched FROM gaps g LEFT JOIN lookup l ON lower(trim(g.district)) = l.k GROUP BY 1, 2",
     "district_to_subdivision": "SELECT p.state, p.district, d.sub_division, COUNT(*) AS n FROM prices p JOIN district_map d ON d.state = p.state AND d.district = p.district GROUP BY 1, 2, 3",
-    "rescale_departure": f"SELECT sub_division, year, month, {r('CASE WHEN MAX(ABS(ratio)) OVER () < 10 THEN ratio * 100 ELSE ratio END')} AS departure_pct FROM (SELECT sub_division, year, month, departure_pct / 100 AS ratio FROM rainfall) t",
+    "rescale_departure": f"SELECT t.sub_division, t.year, t.month, {r('CASE WHEN m.most < 1 THEN t.ratio * 100 ELSE t.ratio END')} AS departure_pct, {r('CASE WHEN m.most / 100 < 1 THEN t.ratio ELSE t.ratio / 100 END')} AS smaller FROM (SELECT sub_division, year, month, departure_pct / 100 AS ratio FROM rainfall) t CROSS JOIN (SELECT MAX(ABS(departure_pct)) / 100 AS most FROM rainfall) m",
     "cyclic_month": f"SELECT DISTINCT month, {r('sin(2 * pi() * month / 12)')} AS month_sin, {r('cos(2 * pi() * month / 12)')} AS month_cos FROM rainfall",
     "retail_clean": f"SELECT region, COUNT(*) AS n, {r('SUM(sales)')} AS sales, {r('SUM(profit)')} AS profit FROM sales GROUP BY 1",
     "retail_features": f"SELECT discount_tier, is_loss, year(order_date) AS order_year, quarter(order_date) AS order_quarter, COUNT(*) AS n, {r('AVG(profit_margin)')} AS margin, {r('AVG(ln(1 + sales))')} AS log_sales FROM sales GROUP BY 1, 2, 3, 4",
@@ -72,7 +72,7 @@ SQL = {
     "daily_avg_prices": f"SELECT commodity, arrival_date, n, {r('price')} AS price FROM daily",
     "monthly_price_series": f"SELECT commodity, year, month, n, {r('avg_price')} AS avg_price FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY year DESC, month DESC) AS back FROM national) t WHERE back <= 48",
     "daily_trend_band": f"SELECT commodity, arrival_date, {r('AVG(modal_price)')} AS mean_price, {r('MIN(modal_price)')} AS low, {r('MAX(modal_price)')} AS high FROM prices GROUP BY 1, 2",
-    "monthly_volatility": f"WITH m AS (SELECT commodity, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month, AVG(modal_price) AS avg_price, MAX(modal_price) - MIN(modal_price) AS spread, COUNT(DISTINCT arrival_date) AS days FROM prices GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT arrival_date) >= 5) SELECT commodity, year, month, days, {r('avg_price')} AS avg_price, {r('spread / avg_price * 100')} AS volatility_pct, {r('AVG(avg_price) OVER (PARTITION BY commodity ORDER BY year, month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS prior_avg FROM m",
+    "monthly_volatility": f"WITH m AS (SELECT commodity, state, district, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month, AVG(modal_price) AS avg_price, MAX(modal_price) - MIN(modal_price) AS spread, COUNT(*) AS trading_days FROM prices WHERE modal_price IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING COUNT(*) >= 5) SELECT commodity, state, district, year, month, trading_days, {r('avg_price')} AS avg_price, {r('spread')} AS price_spread, {r('spread / NULLIF(avg_price, 0) * 100')} AS volatility_pct, {r('AVG(avg_price) OVER (PARTITION BY commodity, state ORDER BY year, month, district ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS prior_avg FROM m",
     "deficiency_ranking": f"WITH d AS (SELECT commodity, state, district, COUNT(*) AS months, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient, AVG(CASE WHEN departure_pct < -19 THEN avg_price END) AS price_deficient, AVG(CASE WHEN departure_pct >= -19 THEN avg_price END) AS price_normal FROM panel GROUP BY 1, 2, 3 HAVING COUNT(*) >= 6) SELECT commodity, state, district, months, deficient, {r('price_deficient')} AS price_deficient, {r('price_normal')} AS price_normal, RANK() OVER (PARTITION BY commodity ORDER BY deficient DESC) AS deficiency_rank FROM d",
     "price_dispersion": f"WITH d AS (SELECT commodity, market, AVG(modal_price) AS avg_price, STDDEV_SAMP(modal_price) AS sd, MAX(modal_price) - MIN(modal_price) AS spread, COUNT(*) AS n FROM prices GROUP BY 1, 2 HAVING COUNT(*) >= 10) SELECT commodity, market, n, {r('avg_price')} AS avg_price, {r('sd')} AS sd, {r('spread')} AS spread, {r('sd / avg_price * 100')} AS dispersion_pct, RANK() OVER (PARTITION BY commodity ORDER BY {r('sd', 6)} DESC) AS dispersion_rank FROM d",
     "regional_margin": f"WITH g AS (SELECT region, segment, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit, SUM(sales) AS sales, AVG(is_loss * 100e0) AS loss_pct FROM sales GROUP BY 1, 2) SELECT region, segment, n, {r('margin')} AS margin, {r('mid')} AS median_margin, {r('profit')} AS profit, {r('loss_pct')} AS loss_pct, RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank, {r('margin - AVG(margin) OVER ()')} AS against_overall FROM g",

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-
+from graintide.shared import folder
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint directory; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graintide-")
-    return f"{base}/{uuid.uuid4().hex}"
+SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def tumbling_volume(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -30,7 +23,7 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str = "complete"
     Complete mode overwrites one table with each batch; append mode adds one part per batch id, so that a batch
     that is run again after a failure replaces its own part.
     """
-    base = folder(spark)
+    base = folder(spark, "stream")
 
     def put(batch: DataFrame, batch_id: int) -> None:
         place = f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch_id}"
