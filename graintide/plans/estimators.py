@@ -108,4 +108,4 @@ SQL = {
 }
 
 for _key, _sql in SQL.items():
-    _register(_key, whole(_sql))
+    _register(_key, whole(_sql), kept=("panel",))

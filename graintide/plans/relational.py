@@ -80,8 +80,8 @@ SQL = {
     "category_profitability": f"WITH s AS (SELECT category, sub_category, SUM(profit) AS profit, SUM(sales) AS sales, COUNT(*) AS n FROM sales GROUP BY 1, 2), c AS (SELECT category, SUM(profit) AS profit FROM s GROUP BY 1) SELECT s.category, s.sub_category, s.n, {r('s.profit')} AS profit, {r('c.profit')} AS category_profit, ROW_NUMBER() OVER (PARTITION BY s.category ORDER BY s.profit) AS worst FROM s JOIN c ON c.category = s.category",
     "discount_tier_analysis": f"WITH t AS (SELECT discount_tier, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit FROM sales GROUP BY 1) SELECT discount_tier, n, {r('n * 100e0 / SUM(n) OVER ()')} AS share_pct, {r('margin')} AS margin, {r('mid')} AS median_margin, CASE WHEN margin >= 15 THEN 'Healthy' WHEN margin >= 0 THEN 'At Risk' ELSE 'Loss' END AS health FROM t",
     "segment_analysis": f"WITH t AS (SELECT segment, region, COUNT(*) AS n, SUM(profit) AS profit, AVG(profit_margin) AS margin FROM sales GROUP BY 1, 2) SELECT segment, region, n, {r('profit')} AS profit, RANK() OVER (ORDER BY {r('profit')} DESC) AS profit_rank, RANK() OVER (PARTITION BY segment ORDER BY {r('margin', 6)} DESC) AS margin_rank FROM t",
-    "freshness_by_commodity": "SELECT lower(commodity) AS commodity, MAX(arrival_date) AS latest_date, MIN(arrival_date) AS earliest_date, COUNT(*) AS row_count, COUNT(DISTINCT district) AS n_districts, COUNT(DISTINCT state) AS n_states FROM prices GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
-    "warehouse_counts": "WITH p AS (SELECT COUNT(*) AS n_prices, COUNT(DISTINCT commodity) AS n_commodities, COUNT(DISTINCT state) AS n_states, COUNT(DISTINCT district) AS n_districts FROM prices), r AS (SELECT COUNT(*) AS n_rain, SUM(CASE WHEN departure_pct BETWEEN -100 AND 200 THEN 1 ELSE 0 END) AS in_band, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient FROM rainfall) SELECT * FROM p CROSS JOIN r",
+    "freshness_by_commodity": "WITH g AS (SELECT lower(commodity) AS commodity, state, district, MAX(arrival_date) AS newest, MIN(arrival_date) AS oldest, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3) SELECT commodity, MAX(newest) AS latest_date, MIN(oldest) AS earliest_date, SUM(n) AS row_count, COUNT(DISTINCT district) AS n_districts, COUNT(DISTINCT state) AS n_states FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
+    "warehouse_counts": "WITH g AS (SELECT commodity, state, district, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3), p AS (SELECT SUM(n) AS n_prices, COUNT(DISTINCT commodity) AS n_commodities, COUNT(DISTINCT state) AS n_states, COUNT(DISTINCT district) AS n_districts FROM g), r AS (SELECT COUNT(*) AS n_rain, SUM(CASE WHEN departure_pct BETWEEN -100 AND 200 THEN 1 ELSE 0 END) AS in_band, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient FROM rainfall) SELECT * FROM p CROSS JOIN r",
     "avg_price_and_districts": f"SELECT commodity, {r('AVG(modal_price)')} AS avg_price, COUNT(DISTINCT district) AS n_districts FROM prices GROUP BY 1",
     "distinct_options": "SELECT district, COUNT(*) AS n FROM prices WHERE district IS NOT NULL AND district <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "deficit_exposure": f"SELECT year, COUNT(*) AS n, {r('AVG(CASE WHEN departure_pct < -19 THEN 1e0 ELSE 0e0 END)')} AS share FROM rainfall GROUP BY 1",
@@ -122,9 +122,9 @@ SQL = {
 }
 
 
-def _register(key: str, sql: str, oracle: str | None = None) -> None:
-    """Put one text under a key; ``oracle`` is its DuckDB spelling where the two engines differ."""
-    registry.register(key, views.cte(oracle or sql))(lambda spark, sf_dir: views.run(spark, sf_dir, sql))
+def _register(key: str, sql: str, oracle: str | None = None, kept: tuple[str, ...] = ()) -> None:
+    """Put one text under a key; ``oracle`` is its DuckDB spelling where the two engines differ, ``kept`` the views to compute once."""
+    registry.register(key, views.cte(oracle or sql))(lambda spark, sf_dir: views.run(spark, sf_dir, sql, kept))
 
 
 for _key, _sql in SQL.items():

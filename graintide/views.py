@@ -6,8 +6,12 @@ expression, so a query and its check see the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from graintide.shared import keep
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
 
 VIEWS = {
@@ -76,6 +80,12 @@ def load(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, sql: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The query over one directory's tables.  Views named in ``kept`` are computed once, into the shared folder, however often the text names them."""
     load(spark, sf_dir)
+    for view in kept:
+        word = re.compile(rf"\b{view}\b")
+        if word.search(sql):
+            keep(spark.sql(cte(f"SELECT * FROM {view}")), view).createOrReplaceTempView(f"kept_{view}")
+            sql = word.sub(f"kept_{view}", sql)
     return spark.sql(cte(sql))
