@@ -34,7 +34,7 @@ from graintide.llm.common import resident, table
 MARK = "▁"
 _SCHEMA = "doc_id long, ids binary, decoded string"
 #: Entries of a worker's memos of words and of parts; each starts anew beyond this.
-MEMO = 200_000
+MEMO, PART_MEMO = 200_000, 400_000
 #: Words and parts longer than this aren't remembered.
 MEMO_CHARS = 64
 
@@ -148,7 +148,7 @@ class PieceTable:
             ids = self.tabled(part) if part[0] in self.ids else [self.byte_id[b] for b in part.encode()]
             got = struct.pack(f"<{len(ids)}I", *ids), self.raw_text(ids)
             if len(part) <= MEMO_CHARS:
-                if len(self.atoms) >= MEMO:
+                if len(self.atoms) >= PART_MEMO:
                     self.atoms.clear()
                 self.atoms[part] = got
         return got
