@@ -36,7 +36,7 @@ from graintide.llm.common import keep, resident, table
 CAPACITY = 4096
 _PIECES = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long"
 #: Words remembered in each of two generations; a word met again moves to the younger one.
-MEMO = 300_000
+MEMO = 450_000
 MEMO_CHARS = 64
 
 
