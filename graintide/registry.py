@@ -40,5 +40,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+def known_oracles() -> dict[str, str]:
+    """The SQL of the modules imported so far, for queries made of others."""
+    return dict(_ORACLES)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["spec_curve"](spark, sf_dir)
