@@ -244,9 +244,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        below = now.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("below"))
-        above = now.select(F.col("v").alias("x")).distinct()
-        if below.filter("below > 1").isEmpty() and below.join(above, "x", "left_semi").isEmpty():
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not nodes.agg(F.coalesce(F.max(F.expr("up > 1 or up > 0 and down > 0")), F.lit(False)).alias("open")).first()["open"]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
