@@ -68,33 +68,3 @@ def seasonal_design(t: np.ndarray, month: np.ndarray, waves: int = 3) -> np.ndar
     """Constant, trend and yearly waves."""
     turns = [f(2 * np.pi * k * month / 12) for k in range(1, waves + 1) for f in (np.sin, np.cos)]
     return np.stack([np.ones(len(t)), t / 12.0, *turns], 1)
-
-
-def trend_filter(y: np.ndarray, level_q: float, slope_q: float) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """(-2 log likelihood, variance, filtered states, their covariances) of a local linear trend; missing days skip the update.
-
-    ``level_q`` and ``slope_q`` are the step variances relative to the observation's, which is estimated.
-    """
-    move, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level_q, slope_q])
-    state, cov = np.array([y[~np.isnan(y)][0], 0.0]), np.eye(2) * 1e4
-    states, covs, squares, logs, n = np.empty((len(y), 2)), np.empty((len(y), 2, 2)), 0.0, 0.0, 0
-    for t, v in enumerate(y):
-        state, cov = move @ state, move @ cov @ move.T + noise
-        if v == v:
-            f = cov[0, 0] + 1.0
-            gain, miss = cov[:, 0] / f, v - state[0]
-            state, cov = state + gain * miss, cov - np.outer(gain, cov[0])
-            if n >= 2:
-                squares, logs = squares + miss * miss / f, logs + np.log(f)
-            n += 1
-        states[t], covs[t] = state, cov
-    variance = squares / max(1, n - 2) or 1e-12
-    return (n - 2) * np.log(variance) + logs, variance, states, covs * variance
-
-
-def fitted_trend(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Variance of the slope's steps, states and covariances at the likeliest pair of relative variances of a grid."""
-    grid = [(a, b) for a in 10.0 ** np.arange(-4, 2) for b in 10.0 ** np.arange(-7, -1)]
-    best = min(grid, key=lambda q: trend_filter(y, *q)[0])
-    _, variance, states, covs = trend_filter(y, *best)
-    return variance * best[1], states, covs

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graintide import registry, views
-from graintide.functions import series
+from graintide.functions import series, trend
 from graintide.plans.relational import r
 from graintide.shared import folder
 from graintide.streaming import events, online
@@ -172,53 +172,59 @@ def daily_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(priced, ["commodity", "day"], "left").select("commodity", "day", F.expr(r("price")).alias("price"))
 
 
-_TREND = "commodity string, day date, level double, slope double, level_sd double, n_days int"
+_TREND = "commodity string, day date, level double, slope double, level_sd double, n_days int, obs_sd double, level_step double, slope_step double, log_likelihood double"
+
+
+def _gridded(pdf: pd.DataFrame) -> tuple[pd.DatetimeIndex, np.ndarray]:
+    """Every day from the first to the last, and its price or NaN."""
+    own = pdf.assign(day=pd.to_datetime(pdf["day"])).groupby("day")["price"].mean()
+    days = pd.date_range(own.index.min(), own.index.max())
+    return days, own.reindex(days).to_numpy(float)
 
 
 def kalman_days(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Filtered level and slope of a series with gaps; nothing below 30 observed days."""
-    pdf = pdf.sort_values("day")
-    y = pdf["price"].to_numpy(float)
-    seen = ~np.isnan(y)
-    if seen.sum() < 30:
+    """Smoothed level and slope of a series with gaps; nothing below 30 observed days or without variation."""
+    days, y = _gridded(pdf)
+    fit = trend.fitted(y)
+    if fit is None:
         return pd.DataFrame(columns=[c.split()[0] for c in _TREND.split(", ")])
-    _, states, covs = series.fitted_trend(y)
-    return pd.DataFrame({"commodity": key[0], "day": pdf["day"], "level": states[:, 0], "slope": states[:, 1], "level_sd": np.sqrt(covs[:, 0, 0]), "n_days": int(seen.sum())})
+    return pd.DataFrame({"commodity": key[0], "day": days.date, "level": fit.states[:, 0], "slope": fit.states[:, 1], "level_sd": np.sqrt(np.maximum(fit.covs[:, 0, 0], 0)), "n_days": int((~np.isnan(y)).sum()), "obs_sd": fit.obs, "level_step": fit.level, "slope_step": fit.slope, "log_likelihood": fit.fit})
 
 
 def _last_days(spark: SparkSession, sf_dir: str, most: int = 210) -> DataFrame:
-    grid = daily_grid(spark, sf_dir)
-    last = grid.groupBy("commodity").agg(F.max("day").alias("last"))
-    return grid.join(last, "commodity").filter(F.datediff("last", "day") < most).drop("last")
+    """The last observed days of each commodity."""
+    newest = Window.partitionBy("commodity").orderBy(F.desc("day"))
+    days = views.run(spark, sf_dir, "SELECT commodity, arrival_date AS day, price FROM daily WHERE price IS NOT NULL")
+    return days.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= most).drop("back")
 
 
 @registry.register("kalman_trend")
 def kalman_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level and slope of the last 210 days by a local linear trend."""
+    """Level and slope of the last 210 observed days, smoothed, at the likeliest deviations."""
     rounded = [F.round(c, 4).alias(c) for c in ("level", "slope", "level_sd")]
-    return _last_days(spark, sf_dir).groupBy("commodity").applyInPandas(kalman_days, _TREND).select("commodity", "day", *rounded, "n_days")
+    return _last_days(spark, sf_dir).groupBy("commodity").applyInPandas(kalman_days, _TREND).select("commodity", "day", *rounded, "n_days", *[F.round(c, 6).alias(c) for c in ("obs_sd", "level_step", "slope_step")], F.round("log_likelihood", 2).alias("log_likelihood"))
 
 
-_NOWCAST = "commodity string, day date, month_end date, nowcast double, low double, high double, completion_pct double"
+_NOWCAST = "commodity string, day date, month_end date, days_remaining int, observed_days int, days_in_month int, completion_pct double, nowcast double, level double, slope double, low double, high double, n_days int"
 
 
-def nowcast_days(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level and slope carried to the month's end, with the variance of both and of the slope's steps between."""
-    pdf = pdf.sort_values("day")
-    y = pdf["price"].to_numpy(float)
-    if (~np.isnan(y)).sum() < 30:
+def nowcast_days(key: tuple, pdf: pd.DataFrame, confidence: float = 0.9) -> pd.DataFrame:
+    """Level and slope carried to the end of the last day's month, and how much of that month is reported."""
+    days, y = _gridded(pdf)
+    fit = trend.fitted(y)
+    if fit is None:
         return pd.DataFrame(columns=[c.split()[0] for c in _NOWCAST.split(", ")])
-    variance, states, covs = series.fitted_trend(y)
-    day = pd.Timestamp(pdf["day"].iloc[-1])
+    day = days[-1]
     end = day + pd.offsets.MonthEnd(0)
-    h, cov = (end - day).days, covs[-1]
-    guess = states[-1, 0] + h * states[-1, 1]
-    half = Z * np.sqrt(cov[0, 0] + 2 * h * cov[0, 1] + h * h * cov[1, 1] + h**3 * variance / 3)
-    return pd.DataFrame({"commodity": [key[0]], "day": [day.date()], "month_end": [end.date()], "nowcast": [guess], "low": [guess - half], "high": [guess + half], "completion_pct": [100.0 * day.day / end.day]})
+    guess, low, high = trend.projected(fit, (end - day).days, confidence)
+    seen = int((~np.isnan(y[(days.year == day.year) & (days.month == day.month)])).sum())
+    level, slope = fit.states[-1]
+    row = (key[0], day.date(), end.date(), (end - day).days, seen, end.day, 100.0 * seen / end.day, guess, level, slope, low, high, len(y))
+    return pd.DataFrame([row], columns=[c.split()[0] for c in _NOWCAST.split(", ")])
 
 
 @registry.register("nowcast_month_end")
 def nowcast_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price at the end of the last day's month."""
-    rounded = [F.round(c, 4).alias(c) for c in ("nowcast", "low", "high", "completion_pct")]
-    return _last_days(spark, sf_dir).groupBy("commodity").applyInPandas(nowcast_days, _NOWCAST).select("commodity", "day", "month_end", *rounded)
+    """Price at the end of the last day's month with a band of 90 %."""
+    rounded = {c: F.round(c, 4) for c in ("nowcast", "level", "slope", "low", "high")}
+    return _last_days(spark, sf_dir).groupBy("commodity").applyInPandas(lambda key, pdf: nowcast_days(key, pdf), _NOWCAST).withColumns(rounded | {"completion_pct": F.round("completion_pct", 1)})
