@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "estimators", "monitoring", "forecasting", "ingestion", "files", "series", "upkeep", "causal", "learning", "reports")
+MODULES = ("relational", "estimators", "monitoring", "ordered", "forecasting", "tails", "ingestion", "files", "series", "upkeep", "causal", "learning", "reports")
 
 
 def load() -> None:

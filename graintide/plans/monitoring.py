@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from graintide.plans.relational import _register, r, whole
 
-
-def _p(share: float, column: str) -> str:
-    return f"percentile_cont({share}) WITHIN GROUP (ORDER BY {column})"
-
-
 #: One row a numeric column of the retail orders.
-_FEATURES = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, order_date FROM sales" for c in ("sales", "profit", "quantity", "discount"))
+FEATURES = ("sales", "profit", "quantity", "discount")
+_FEATURES = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, order_date FROM sales" for c in FEATURES)
 _OLD = "order_date < DATE '2000-01-01'"
 
 SQL = {
-    "outlier_audit_iqr": f"WITH q AS (SELECT category, {_p(0.25, 'sales')} AS q1, {_p(0.75, 'sales')} AS q3 FROM sales GROUP BY 1) SELECT s.category, COUNT(*) AS n, {r('MIN(q.q3 + 1.5e0 * (q.q3 - q.q1))')} AS upper_bound, SUM(CASE WHEN s.sales > q.q3 + 1.5e0 * (q.q3 - q.q1) THEN 1 ELSE 0 END) AS n_beyond, {r('AVG(s.is_loss * 1e0)')} AS loss_share, SUM(CASE WHEN s.sub_category IS NULL THEN 1 ELSE 0 END) AS missing_sub_category FROM sales s JOIN q ON q.category = s.category GROUP BY 1",
-    "feature_baseline_stats": f"WITH f AS ({_FEATURES}) SELECT feature, COUNT(x) AS n, {r('AVG(x)')} AS mean, {r('STDDEV_SAMP(x)')} AS sd, {r('MIN(x)')} AS least, {r('MAX(x)')} AS most, {r(_p(0.05, 'x'))} AS p5, {r(_p(0.25, 'x'))} AS p25, {r(_p(0.5, 'x'))} AS p50, {r(_p(0.75, 'x'))} AS p75, {r(_p(0.95, 'x'))} AS p95 FROM f GROUP BY 1",
     "zscore_drift": f"WITH f AS ({_FEATURES}), b AS (SELECT feature, AVG(x) AS mean, STDDEV_SAMP(x) AS sd FROM f WHERE {_OLD} GROUP BY 1), z AS (SELECT f.feature, AVG(CASE WHEN ABS(f.x - b.mean) > 3 * b.sd THEN 1e0 ELSE 0e0 END) AS share, COUNT(*) AS n FROM f JOIN b ON b.feature = f.feature WHERE NOT f.{_OLD} AND b.sd > 0 GROUP BY 1) SELECT feature, n, {r('share', 6)} AS share, share > 0.1e0 AS drifted FROM z",
     "max_drawdown": f"WITH p AS (SELECT *, MAX(price) OVER (PARTITION BY commodity ORDER BY arrival_date ROWS UNBOUNDED PRECEDING) AS peak FROM daily WHERE price > 0) SELECT commodity, COUNT(*) AS n, {r('MIN(price / peak - 1) * 100')} AS max_drawdown_pct FROM p GROUP BY 1 HAVING COUNT(*) >= 10",
     "deficit_price_correlation": f"WITH f AS (SELECT sub_division, AVG(CASE WHEN departure_pct < -19 THEN 1e0 ELSE 0e0 END) AS freq FROM rainfall GROUP BY 1), p AS (SELECT commodity, state, district, AVG(modal_price) AS price FROM prices GROUP BY 1, 2, 3) SELECT p.commodity, COUNT(*) AS n_districts, {r('CORR(f.freq, p.price)', 6)} AS pearson_r FROM p JOIN district_map d ON d.state = p.state AND d.district = p.district JOIN f ON f.sub_division = d.sub_division GROUP BY 1 HAVING COUNT(*) >= 8",

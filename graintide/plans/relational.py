@@ -75,10 +75,8 @@ SQL = {
     "monthly_volatility": f"WITH m AS (SELECT commodity, state, district, CAST(year(arrival_date) AS INT) AS year, CAST(month(arrival_date) AS INT) AS month, AVG(modal_price) AS avg_price, MAX(modal_price) - MIN(modal_price) AS spread, COUNT(*) AS trading_days FROM prices WHERE modal_price IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING COUNT(*) >= 5) SELECT commodity, state, district, year, month, trading_days, {r('avg_price')} AS avg_price, {r('spread')} AS price_spread, {r('spread / NULLIF(avg_price, 0) * 100')} AS volatility_pct, {r('AVG(avg_price) OVER (PARTITION BY commodity, state ORDER BY year, month, district ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS prior_avg FROM m",
     "deficiency_ranking": f"WITH d AS (SELECT commodity, state, district, COUNT(*) AS months, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient, AVG(CASE WHEN departure_pct < -19 THEN avg_price END) AS price_deficient, AVG(CASE WHEN departure_pct >= -19 THEN avg_price END) AS price_normal FROM panel GROUP BY 1, 2, 3 HAVING COUNT(*) >= 6) SELECT commodity, state, district, months, deficient, {r('price_deficient')} AS price_deficient, {r('price_normal')} AS price_normal, RANK() OVER (PARTITION BY commodity ORDER BY deficient DESC) AS deficiency_rank FROM d",
     "price_dispersion": f"WITH d AS (SELECT commodity, market, AVG(modal_price) AS avg_price, STDDEV_SAMP(modal_price) AS sd, MAX(modal_price) - MIN(modal_price) AS spread, COUNT(*) AS n FROM prices GROUP BY 1, 2 HAVING COUNT(*) >= 10) SELECT commodity, market, n, {r('avg_price')} AS avg_price, {r('sd')} AS sd, {r('spread')} AS spread, {r('sd / avg_price * 100')} AS dispersion_pct, RANK() OVER (PARTITION BY commodity ORDER BY {r('sd', 6)} DESC) AS dispersion_rank FROM d",
-    "regional_margin": f"WITH g AS (SELECT region, segment, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit, SUM(sales) AS sales, AVG(is_loss * 100e0) AS loss_pct FROM sales GROUP BY 1, 2) SELECT region, segment, n, {r('margin')} AS margin, {r('mid')} AS median_margin, {r('profit')} AS profit, {r('loss_pct')} AS loss_pct, RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank, {r('margin - AVG(margin) OVER ()')} AS against_overall FROM g",
     "running_monthly_sales": f"WITH m AS (SELECT year(order_date) AS y, month(order_date) AS m, SUM(sales) AS sales, SUM(profit) AS profit FROM sales GROUP BY 1, 2), l AS (SELECT *, LAG(sales, 12) OVER (ORDER BY y, m) AS before, SUM(sales) OVER (ORDER BY y, m ROWS UNBOUNDED PRECEDING) AS running FROM m) SELECT y, m, {r('sales')} AS sales, {r('running')} AS running, {r('(sales - before) / before * 100')} AS yoy_pct, CASE WHEN (sales - before) / before > 0.1 THEN 'Growth' WHEN (sales - before) / before > -0.1 THEN 'Stable' ELSE 'Sharp Decline' END AS trend FROM l",
     "category_profitability": f"WITH s AS (SELECT category, sub_category, SUM(profit) AS profit, SUM(sales) AS sales, COUNT(*) AS n FROM sales GROUP BY 1, 2), c AS (SELECT category, SUM(profit) AS profit FROM s GROUP BY 1) SELECT s.category, s.sub_category, s.n, {r('s.profit')} AS profit, {r('c.profit')} AS category_profit, ROW_NUMBER() OVER (PARTITION BY s.category ORDER BY s.profit) AS worst FROM s JOIN c ON c.category = s.category",
-    "discount_tier_analysis": f"WITH t AS (SELECT discount_tier, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit FROM sales GROUP BY 1) SELECT discount_tier, n, {r('n * 100e0 / SUM(n) OVER ()')} AS share_pct, {r('margin')} AS margin, {r('mid')} AS median_margin, CASE WHEN margin >= 15 THEN 'Healthy' WHEN margin >= 0 THEN 'At Risk' ELSE 'Loss' END AS health FROM t",
     "segment_analysis": f"WITH t AS (SELECT segment, region, COUNT(*) AS n, SUM(profit) AS profit, AVG(profit_margin) AS margin FROM sales GROUP BY 1, 2) SELECT segment, region, n, {r('profit')} AS profit, RANK() OVER (ORDER BY {r('profit')} DESC) AS profit_rank, RANK() OVER (PARTITION BY segment ORDER BY {r('margin', 6)} DESC) AS margin_rank FROM t",
     "freshness_by_commodity": "WITH g AS (SELECT lower(commodity) AS commodity, state, district, MAX(arrival_date) AS newest, MIN(arrival_date) AS oldest, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3) SELECT commodity, MAX(newest) AS latest_date, MIN(oldest) AS earliest_date, SUM(n) AS row_count, COUNT(DISTINCT district) AS n_districts, COUNT(DISTINCT state) AS n_states FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
     "warehouse_counts": "WITH g AS (SELECT commodity, state, district, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3), p AS (SELECT SUM(n) AS n_prices, COUNT(DISTINCT commodity) AS n_commodities, COUNT(DISTINCT state) AS n_states, COUNT(DISTINCT district) AS n_districts FROM g), r AS (SELECT COUNT(*) AS n_rain, SUM(CASE WHEN departure_pct BETWEEN -100 AND 200 THEN 1 ELSE 0 END) AS in_band, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient FROM rainfall) SELECT * FROM p CROSS JOIN r",
@@ -95,7 +93,6 @@ SQL = {
     "daily_median_price": f"SELECT commodity, arrival_date, {r('MEDIAN(modal_price)')} AS price FROM prices WHERE modal_price > 0 GROUP BY 1, 2",
     "retail_drilldown": f"SELECT {r('SUM(sales)')} AS sales, {r('SUM(profit)')} AS profit, {r('AVG(profit_margin)')} AS margin, {r('AVG(is_loss * 100e0)')} AS loss_pct FROM sales WHERE region = 'ASIA' AND segment = 'BUILDING' AND year(order_date) = 1997",
     # windows
-    "rolling_price_trend": f"SELECT state, district, commodity, arrival_date, src_order, src_line, src_part, {r('AVG(modal_price) OVER w')} AS rolling_avg, {r('MIN(modal_price) OVER w')} AS rolling_min, {r('MAX(modal_price) OVER w')} AS rolling_max, COUNT(*) OVER w AS n FROM prices WINDOW w AS (PARTITION BY state, district, commodity ORDER BY arrival_date, modal_price, src_order, src_line, src_part ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
     "yoy_rainfall_season": f"WITH l AS (SELECT *, LAG(departure_pct, 12) OVER w AS dep_before, LAG(avg_price, 12) OVER w AS price_before FROM panel WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month)) SELECT commodity, state, district, year, month, {r('avg_price - price_before')} AS price_change, CASE WHEN departure_pct < -19 AND dep_before >= -19 THEN 'Newly deficient' WHEN departure_pct >= -19 AND dep_before < -19 THEN 'Recovered' ELSE 'Stable' END AS season FROM l",
     "ranking_set": f"WITH g AS (SELECT commodity, state, COUNT(*) AS n FROM prices GROUP BY 1, 2) SELECT commodity, state, n, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY n DESC, state) AS rn, RANK() OVER (PARTITION BY commodity ORDER BY n DESC) AS rk, {r('n * 1e0 / SUM(n) OVER (PARTITION BY commodity)')} AS share FROM g",
     "lag_rolling_features": f"SELECT commodity, state, district, year, month, {r('LAG(departure_pct, 1) OVER w')} AS lag1, {r('LAG(departure_pct, 2) OVER w')} AS lag2, {r('LAG(departure_pct, 3) OVER w')} AS lag3, {r('AVG(departure_pct) OVER (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS roll_mean FROM panel WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month)",

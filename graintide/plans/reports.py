@@ -42,6 +42,25 @@ def label_intent_and_commodity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tagged(said, "id", aliases, longest, DEFAULT_TAG).join(flags, "id")
 
 
+#: Part types without one of their letters, as somebody may have typed them, and nations in capitals.
+TYPED = "SELECT CONCAT('typed ', CAST(p_partkey AS VARCHAR(20))) AS id, CONCAT('Price of ', substring(p_type, 1, CAST(p_partkey % length(p_type) AS INT)), substring(p_type, CAST(p_partkey % length(p_type) AS INT) + 2, 100), ' near ', upper(n_name), '?') AS text FROM part JOIN nation ON n_nationkey = p_partkey % 27"
+
+
+@registry.register("fuzzy_commodity_tags")
+def fuzzy_commodity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commodity of texts with misspelt names, and their district: an exact name before a close one, neither gives the default."""
+    said = views.run(spark, sf_dir, f"{TYPED} UNION ALL {SAID}")
+    aliases = spark.sql(ALIASES)
+    longest = aliases.agg(F.max(F.size(tagging.tokens(F.col("alias"))))).first()[0] or 1
+    exact = tagging.tagged(said, "id", aliases, longest).filter("tag IS NOT NULL")
+    close = tagging.fuzzy(said.join(exact.select("id"), "id", "left_anti"), "id", spark.sql("SELECT DISTINCT p_type AS name FROM part"))
+    places = spark.sql("SELECT n_name AS name, n_nationkey AS place FROM nation")
+    most = places.agg(F.max(F.size(tagging.tokens(F.col("name"))))).first()[0] or 1
+    tags = exact.withColumn("how", F.lit("exact")).unionByName(close.withColumn("how", F.lit("close")))
+    district = tagging.listed(said, "id", places, most).withColumnRenamed("name", "district")
+    return said.select("id").join(tags, "id", "left").join(district, "id", "left").select("id", F.coalesce("tag", F.lit(DEFAULT_TAG)).alias("tag"), F.coalesce("how", F.lit("default")).alias("how"), "district")
+
+
 # ---- rain ------------------------------------------------------------------------------------
 
 RAIN = f"""WITH day AS (SELECT r_name AS state, n_name AS district, CAST(o_orderdate AS DATE) AS d, AVG(o_totalprice) AS mm
