@@ -2,33 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The formats tried in order, and the texts that mean "no date".
-FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "dd MMM yyyy")
+#: The shapes tried in order with their formats, and the texts that mean "no date".
+SHAPES = (
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{4}", "d-MMM-yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"\d{8}", "yyyyMMdd"),
+)
 MISSING = ("", "nan", "nat", "none", "null", "-")
+#: Numbers beyond EPOCH_MS are milliseconds, and seconds lie within EPOCH.
+EPOCH, EPOCH_MS = (3.0e8, 4.5e9), 1e11
+
+
+def _text(raw: Column) -> Column:
+    """Trimmed, runs of blanks as one, and a whole number's trailing .0 dropped."""
+    return F.regexp_replace(F.regexp_replace(F.trim(raw), r"\s+", " "), r"^(\d+)\.0$", "$1")
 
 
 def parse_date(raw: Column) -> Column:
-    """The first format that fits; null where none does. Trailing times after an ISO date are dropped."""
-    text = F.trim(raw)
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.substring(text, 1, 10)).otherwise(text)
-    return F.coalesce(*[F.try_to_timestamp(iso, F.lit(f)).cast("date") for f in FORMATS])
+    """The date of a text whose shape is known; null where none fits.  What follows ten characters of an ISO date is dropped.
 
+    Two digits of a year from 69 on are of the century before.
+    """
+    text = _text(raw)
+    text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\D"), F.substring(text, 1, 10)).otherwise(text)
+    out = F.lit(None).cast("date")
+    for shape, form in reversed(SHAPES):
+        day = F.try_to_timestamp(text, F.lit(form)).cast("date")
+        if form.endswith("/yy"):
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        out = F.when(text.rlike(f"^{shape}$"), day).otherwise(out)
+    return out
 
-def date_status(raw: Column, today: Column, floor: str = "1990-01-01") -> Column:
-    """ok, missing, unparseable, future (after tomorrow) or impossible (before ``floor``); null text is missing."""
-    day = parse_date(raw)
+
+def parse_epoch(number: Column) -> Column:
+    """The UTC date of seconds or milliseconds since 1970; null where the number can't be either."""
+    x = number.cast("double")
+    seconds = F.when(x > EPOCH_MS, x / 1000).otherwise(x)
+    return F.when(seconds.between(*EPOCH), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")))
+
+
+def parsed(df: DataFrame, column: str) -> Column:
+    """The date of a column by its type: dates as they are, numbers as epochs where they can be, else as texts."""
+    kind, raw = df.schema[column].dataType.typeName(), F.col(column)
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return raw.cast("date")
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        whole = F.when(raw == F.floor(raw), F.floor(raw).cast("string"))
+        return F.coalesce(parse_epoch(raw), parse_date(whole))
+    return parse_date(raw.cast("string"))
+
+
+def classified(df: DataFrame, column: str, today: Column, floor: str = "1990-01-01", ahead: int = 1) -> DataFrame:
+    """df with ``day`` and ``status`` of a raw date column; the day is null unless the status is ok, so a declined date can't be stored."""
+    day, raw = parsed(df, column), F.col(column)
+    status = _status(raw.cast("string"), day, today, floor, ahead)
+    return df.withColumn("status", status).withColumn("day", F.when(F.col("status") == "ok", day))
+
+
+def _status(raw: Column, day: Column, today: Column, floor: str, ahead: int) -> Column:
     return (
         F.when(raw.isNull() | F.lower(F.trim(raw)).isin(*MISSING), "missing")
         .when(day.isNull(), "unparseable")
-        .when(day > F.date_add(today, 1), "future")
+        .when(day > F.date_add(today, ahead), "future")
         .when(day < F.lit(floor).cast("date"), "impossible")
         .otherwise("ok")
     )
 
 
+def date_status(raw: Column, today: Column, floor: str = "1990-01-01", ahead: int = 1) -> Column:
+    """ok, missing, unparseable, future (after tomorrow) or impossible (before ``floor``); null text is missing."""
+    return _status(raw, parse_date(raw), today, floor, ahead)
+
+
 def swap_month_day(day: Column) -> Column:
     """Month and day exchanged; null where that is no date."""
     return F.try_to_timestamp(F.date_format(day, "yyyy-dd-MM"), F.lit("yyyy-MM-dd")).cast("date")

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from graintide import registry, views
 from graintide.functions import dates
-from graintide.streaming import events
+from graintide.shared import folder
+from graintide.streaming import events, guard
 
 TODAY = "2001-06-30"
-#: The price table's dates spelt in four ways, the fourth not a date.
-SPARK_RAW = "SELECT *, CASE src_line % 4 WHEN 0 THEN date_format(arrival_date, 'yyyy-MM-dd') WHEN 1 THEN date_format(arrival_date, 'dd/MM/yyyy') WHEN 2 THEN date_format(arrival_date, 'dd-MM-yyyy') ELSE CASE WHEN src_part % 2 = 0 THEN 'not-a-date' ELSE ' NaN ' END END AS raw FROM prices"
-DUCK_RAW = "SELECT *, CASE src_line % 4 WHEN 0 THEN strftime(arrival_date, '%Y-%m-%d') WHEN 1 THEN strftime(arrival_date, '%d/%m/%Y') WHEN 2 THEN strftime(arrival_date, '%d-%m-%Y') ELSE CASE WHEN src_part % 2 = 0 THEN 'not-a-date' ELSE ' NaN ' END END AS raw FROM prices"
-DUCK_DAY = "CAST(COALESCE(TRY_STRPTIME(trim(raw), '%Y-%m-%d'), TRY_STRPTIME(trim(raw), '%d/%m/%Y'), TRY_STRPTIME(trim(raw), '%d-%m-%Y')) AS DATE)"
+#: The price table's dates spelt in seven ways, one of them not a date.
+_RAW = "SELECT *, CASE src_line WHEN 1 THEN {0} WHEN 2 THEN {1} WHEN 4 THEN {2} WHEN 5 THEN {3} WHEN 6 THEN {4} WHEN 7 THEN {5} ELSE CASE WHEN src_part % 2 = 0 THEN 'not-a-date' ELSE ' NaN ' END END AS raw FROM prices"
+SPARK_RAW = _RAW.format(*[f"date_format(arrival_date, '{f}')" for f in ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "MMM dd, yyyy", "dd.MM.yyyy")])
+DUCK_RAW = _RAW.format(*[f"strftime(arrival_date, '{f}')" for f in ("%d/%m/%Y", "%d-%m-%Y", "%Y-%m-%d", "%d/%m/%y", "%b %d, %Y", "%d.%m.%Y")])
+DUCK_DAY = "CAST(CASE WHEN regexp_full_match(trim(raw), '\\d+/\\d+/\\d\\d') THEN TRY_STRPTIME(trim(raw), '%d/%m/%y') ELSE COALESCE(TRY_STRPTIME(trim(raw), '%Y-%m-%d'), TRY_STRPTIME(trim(raw), '%d/%m/%Y'), TRY_STRPTIME(trim(raw), '%d-%m-%Y'), TRY_STRPTIME(trim(raw), '%b %d, %Y'), TRY_STRPTIME(trim(raw), '%d.%m.%Y')) END AS DATE)"
+DUCK_STATUS = f"WITH raw AS ({DUCK_RAW}), d AS (SELECT raw, commodity, {DUCK_DAY} AS day FROM raw), s AS (SELECT day, commodity, CASE WHEN lower(trim(raw)) IN ('', 'nan', 'nat', 'none', 'null', '-') THEN 'missing' WHEN day IS NULL THEN 'unparseable' WHEN day > DATE '{TODAY}' + INTERVAL '1' DAY THEN 'future' WHEN day < DATE '1990-01-01' THEN 'impossible' ELSE 'ok' END AS status FROM d)"
 DUCK_SWAP = "CAST(TRY_STRPTIME(strftime(arrival_date, '%Y-%d-%m'), '%Y-%m-%d') AS DATE)"
 LATE = f"arrival_date > DATE '{TODAY}' + INTERVAL '1' DAY"
 
@@ -22,11 +25,11 @@ def _today():
     return F.lit(TODAY).cast("date")
 
 
-@registry.register("classify_date", views.cte(f"WITH raw AS ({DUCK_RAW}), d AS (SELECT raw, {DUCK_DAY} AS day FROM raw), s AS (SELECT day, CASE WHEN lower(trim(raw)) IN ('', 'nan', 'nat', 'none', 'null', '-') THEN 'missing' WHEN day IS NULL THEN 'unparseable' WHEN day > DATE '{TODAY}' + INTERVAL '1' DAY THEN 'future' WHEN day < DATE '1990-01-01' THEN 'impossible' ELSE 'ok' END AS status FROM d) SELECT status, day, COUNT(*) AS n FROM s GROUP BY 1, 2"))
+@registry.register("classify_date", views.cte(f"{DUCK_STATUS} SELECT status, CASE WHEN status = 'ok' THEN day END AS day, COUNT(*) AS n FROM s GROUP BY 1, 2"))
 def classify_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by date and status; today is fixed."""
+    """Rows by date and status; today is fixed, and there is no date unless it is ok."""
     raw = views.run(spark, sf_dir, SPARK_RAW)
-    return raw.select(dates.date_status(F.col("raw"), _today()).alias("status"), dates.parse_date(F.col("raw")).alias("day")).groupBy("status", "day").agg(F.count("*").alias("n"))
+    return dates.classified(raw, "raw", _today()).groupBy("status", "day").agg(F.count("*").alias("n"))
 
 
 @registry.register("swap_month_day", views.cte(f"SELECT arrival_date, {DUCK_SWAP} AS swapped, COUNT(*) AS n FROM prices GROUP BY 1, 2"))
@@ -66,12 +69,35 @@ def record_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.register("tumbling_request_volume", "SELECT date_trunc('hour', ts) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_request_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per hour and type, counted by a stream that reads all files there are."""
-    return events.run_available(spark, events.tumbling_volume(events.source(spark, sf_dir)))
+    """Events per hour and type, as parts that a stream adds batch by batch."""
+    return events.volume_by_parts(spark, events.source(spark, sf_dir))
 
 
 @registry.register("late_and_future_guard", "SELECT event_id, event_type, ts >= TIMESTAMP '2024-01-20' AS is_future FROM events WHERE event_id IS NOT NULL")
 def late_and_future_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream that marks events beyond a fixed day and passes late ones."""
-    marked = events.source(spark, sf_dir).where("event_id IS NOT NULL").selectExpr("event_id", "event_type", "ts >= TIMESTAMP_NTZ '2024-01-20' AS is_future")
-    return events.run_available(spark, marked, "append").select("event_id", "event_type", "is_future")
+    """Events sorted by a stream into those up to a fixed day, late ones among them, and those beyond, put aside."""
+    status = F.when(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"), "future").otherwise("ok")
+    sinks = guard.guarded(spark, events.source(spark, sf_dir).where("event_id IS NOT NULL"), lambda rows: rows.withColumn("status", status))
+    marked = lambda rows, future: rows.select("event_id", "event_type", F.lit(future).alias("is_future"))
+    return marked(sinks.accepted, False).unionByName(marked(sinks.quarantined, True))
+
+
+def _guarded_prices(spark: SparkSession, sf_dir: str) -> guard.Sinks:
+    """Raw price rows that arrive as files, sorted by their dates."""
+    rows = views.run(spark, sf_dir, SPARK_RAW).select("commodity", "market", "raw", "modal_price", "src_part")
+    place = folder(spark, "raw")
+    rows.write.parquet(place)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(place)
+    return guard.guarded(spark, stream, lambda batch: dates.classified(batch, "raw", _today()))
+
+
+@registry.register("stream_date_status", views.cte(f"{DUCK_STATUS} SELECT status, CAST(COUNT(*) AS BIGINT) AS n FROM s GROUP BY 1"))
+def stream_date_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by date status, from the counts that each batch of the guard wrote."""
+    return _guarded_prices(spark, sf_dir).counts.groupBy("status").agg(F.sum("n").alias("n"))
+
+
+@registry.register("stream_quarantine", views.cte(f"{DUCK_STATUS} SELECT commodity, status, CAST(COUNT(*) AS BIGINT) AS n FROM s WHERE status <> 'ok' GROUP BY 1, 2"))
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declined rows by commodity and reason."""
+    return _guarded_prices(spark, sf_dir).quarantined.groupBy("commodity", "status").agg(F.count("*").alias("n"))
