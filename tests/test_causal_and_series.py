@@ -47,8 +47,14 @@ def test_fixed_effects_equal_least_squares_with_marks(spark):
 def test_bootstrap_limits(spark):
     rng = np.random.default_rng(1)
     pdf = pd.concat([pd.DataFrame({"tier": "a", "margin": rng.normal(10, 5, 2000), "is_loss": rng.random(2000) < 0.3}), pd.DataFrame({"tier": "b", "margin": [1.0, 2.0], "is_loss": [True, False]})])
-    pdf["is_loss"] = pdf["is_loss"].astype(int)
-    got = {r.tier: r for r in causal.bootstrap_tiers(spark.createDataFrame(pdf)).collect()}
+    pdf = pd.concat([pdf, pd.DataFrame({"tier": [None] * 5, "margin": [3.0] * 5, "is_loss": [False] * 5})])
+    pdf["is_loss"], pdf["id"] = pdf["is_loss"].astype(int), np.arange(len(pdf))
+    df = spark.createDataFrame(pdf, "tier string, margin double, is_loss int, id long")
+    got = {r.tier: r for r in causal.bootstrap_tiers(df.repartition(3), ["id"]).collect()}
+    other = {r.tier: r for r in causal.bootstrap_tiers(df.repartition(7), ["id"]).collect()}
+    for k, r in got.items():
+        assert [x and round(x, 9) for x in r[1:]] == [x and round(x, 9) for x in other[k][1:]]
+    assert got[None].n == 5 and got[None].margin_low == got[None].margin_high == 3.0
     a = got["a"]
     assert a.margin_low < a.mean_margin < a.margin_high and 0.8 < (a.margin_high - a.margin_low) / (2 * 1.96 * 5 / math.sqrt(2000)) < 1.2
     assert a.loss_low < a.loss_rate < a.loss_high and got["b"].margin_low is None and got["b"].n == 2
@@ -110,3 +116,38 @@ def test_trend_filter_and_nowcast():
     row = nowcast_days(("c",), pdf).iloc[0]
     assert row["low"] < truth[-1] + 0.3 * 11 < row["high"] and str(row["month_end"]) == "2026-06-30"
     assert len(kalman_days(("c",), pdf.head(20))) == 0
+
+
+def test_boosted_nuisances_find_what_squares_miss(spark):
+    rng = np.random.default_rng(7)
+    n = 3000
+    x, z = rng.uniform(-2, 2, n), rng.normal(size=n)
+    wave = 2 * np.sin(3 * x)
+    frames = []
+    for name, theta in (("a", 2.5), ("b", 1.5)):
+        d = wave + 0.3 * z + rng.normal(size=n)
+        frames.append(pd.DataFrame({"g": name, "x": x, "z": z, "d": d, "y": theta * d + 3 * wave + z + rng.normal(size=n)}))
+    pdf = pd.concat(frames + [pd.DataFrame({"g": "few", "x": [0.0] * 20, "z": 0.0, "d": np.arange(20.0) / 20, "y": np.arange(20.0) / 20})])
+    pdf["k"] = np.arange(len(pdf))
+    df, key = spark.createDataFrame(pdf), F.col("k").cast("string")
+    got = {r.g: r for r in causal.boosted_dml(df, "g", "y", "d", ["x", "z"], key, rounds=25, depth=5, step=0.3).collect()}
+    assert set(got) == {"a", "b"} and all(abs(got[g].theta - t) < 0.15 and got[g].p_value < 1e-6 for g, t in (("a", 2.5), ("b", 1.5)))
+    assert abs(causal.double_ml(df.filter("g = 'a'"), "y", "d", ["x", "z"], key)["theta"] - 2.5) > 0.5
+
+
+def test_retail_effects_equal_least_squares_with_marks(spark):
+    rng = np.random.default_rng(5)
+    n = 500
+    pdf = pd.DataFrame({"category": [f"c{i}" for i in rng.integers(0, 60, n)], "region": [f"r{i}" for i in rng.integers(0, 4, n)], "discount": rng.uniform(0, 0.5, n)})
+    pdf["profit_margin"] = 20 - 90 * pdf["discount"] + pdf["category"].str[1:].astype(int) + 3 * pdf["region"].str[1].astype(int) + rng.normal(0, 4, n)
+    row = causal.retail_fixed_effects(spark.createDataFrame(pdf)).first()
+    x = np.column_stack([100 * pdf["discount"], pd.get_dummies(pdf["category"]).to_numpy(float), pd.get_dummies(pdf["region"]).to_numpy(float)[:, 1:]])
+    beta, *_ = np.linalg.lstsq(x, pdf["profit_margin"], rcond=None)
+    left = pdf["profit_margin"] - x @ beta
+    se = math.sqrt(left @ left / (n - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0])
+    assert row.coefficient == pytest.approx(beta[0], rel=1e-6) and row.std_error == pytest.approx(se, rel=1e-6) and row.n == n
+
+
+def test_normal_tail(spark):
+    got = spark.createDataFrame([(float(z),) for z in (0, 0.5, -1.96, 3, 8)], "z double").select(causal.two_sided(F.col("z")).alias("p")).collect()
+    assert [r.p for r in got] == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in (0, 0.5, -1.96, 3, 8)], abs=2e-7)
