@@ -38,13 +38,13 @@ SQL = {
     "spike_features": f"WITH cutp AS (SELECT commodity, percentile_cont(0.75) WITHIN GROUP (ORDER BY avg_price) AS p75 FROM panel WHERE n >= 3 GROUP BY 1), f AS (SELECT *, LAG(departure_pct, 1) OVER w AS lag1, LAG(departure_pct, 2) OVER w AS lag2, LAG(departure_pct, 3) OVER w AS lag3, AVG(departure_pct) OVER (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll FROM panel WHERE n >= 3 WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month)) SELECT f.commodity, f.state, f.district, f.year, f.month, {r('lag1')} AS lag1, {r('lag2')} AS lag2, {r('lag3')} AS lag3, {r('roll')} AS roll, {r('sin(2 * pi() * f.month / 12)')} AS month_sin, {r('cos(2 * pi() * f.month / 12)')} AS month_cos, CASE WHEN f.avg_price >= c.p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp c ON c.commodity = f.commodity",
     "gpd_tail_fit": f"WITH {PWM} SELECT commodity, n, k AS n_beyond, {r('u')} AS threshold, {r('xi')} AS shape, {r('sigma')} AS scale FROM gpd",
     "evt_var_es": f"WITH {PWM}, q AS (SELECT *, u + sigma / xi * (power(0.01e0 / (k * 1e0 / n), -xi) - 1) AS var99 FROM gpd WHERE ABS(xi) > 1e-6 AND xi < 1) SELECT commodity, {r('var99')} AS var99, {r('(var99 + sigma - xi * u) / (1 - xi)')} AS es99 FROM q",
-    "tail_risk_report": f"WITH {LOSSES}, v AS (SELECT commodity, COUNT(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY loss) AS v95, percentile_cont(0.99) WITHIN GROUP (ORDER BY loss) AS v99, STDDEV_POP(loss) AS sd FROM ret GROUP BY 1) SELECT v.commodity, v.n, {r('v.v95')} AS var95, {r('v.v99')} AS var99, {r('v.sd * sqrt(252e0) * 100')} AS volatility_pct, {r('AVG(CASE WHEN r.loss >= v.v95 - 1e-12 THEN r.loss END)')} AS cvar95 FROM v JOIN ret r ON r.commodity = v.commodity WHERE v.n >= 30 GROUP BY v.commodity, v.n, v.v95, v.v99, v.sd",
+    "tail_risk_report": f"WITH {PWM}, q AS (SELECT commodity, xi, u + sigma / xi * (power(0.01e0 / (k * 1e0 / n), -xi) - 1) AS evt99, sigma, u FROM gpd WHERE ABS(xi) > 1e-6 AND xi < 1), v AS (SELECT commodity, COUNT(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY loss) AS v95, percentile_cont(0.99) WITHIN GROUP (ORDER BY loss) AS v99, STDDEV_POP(loss) AS sd FROM ret GROUP BY 1), c AS (SELECT v.commodity, AVG(CASE WHEN r.loss >= v.v95 - 1e-12 THEN r.loss END) AS c95, AVG(CASE WHEN r.loss >= v.v99 - 1e-12 THEN r.loss END) AS c99 FROM v JOIN ret r ON r.commodity = v.commodity GROUP BY 1), pk AS (SELECT commodity, price, MAX(price) OVER (PARTITION BY commodity ORDER BY arrival_date ROWS UNBOUNDED PRECEDING) AS peak FROM ({BACK}) t WHERE back <= 730 AND price > 0), dd AS (SELECT commodity, MIN(price / peak - 1) * 100 AS drawdown FROM pk GROUP BY 1), mm AS (SELECT commodity, avg_price, LAG(avg_price) OVER (PARTITION BY commodity ORDER BY year, month) AS before FROM national), ri AS (SELECT commodity, AVG(CASE WHEN avg_price / before - 1 > 0.1 THEN 1e0 ELSE 0e0 END) AS rises FROM mm WHERE before > 0 GROUP BY 1 HAVING COUNT(*) >= 12) SELECT v.commodity, v.n, {r('v.v95')} AS var95, {r('v.v99')} AS var99, {r('v.sd * sqrt(252e0) * 100')} AS volatility_pct, {r('c.c95')} AS cvar95, {r('c.c99')} AS cvar99, {r('q.evt99')} AS evt_var99, {r('(q.evt99 + q.sigma - q.xi * q.u) / (1 - q.xi)')} AS evt_es99, {r('dd.drawdown')} AS max_drawdown_pct, {r('ri.rises')} AS rise_share FROM v JOIN c ON c.commodity = v.commodity LEFT JOIN q ON q.commodity = v.commodity LEFT JOIN dd ON dd.commodity = v.commodity LEFT JOIN ri ON ri.commodity = v.commodity WHERE v.n >= 30",
     "psi": f"WITH {PSI} SELECT commodity, {r('psi')} AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'shifted' END AS verdict FROM psi",
     "psi_retail": f"WITH {CATEGORICAL} SELECT {r('SUM((p1 - p0) * ln(p1 / p0))')} AS psi, COUNT(*) AS n_values, SUM((p1 - p0) * ln(p1 / p0)) > 0.2e0 AS drifted FROM sh",
     "ks_two_sample": f"WITH {KS} SELECT commodity, {r('d')} AS ks_d, {r('p')} AS p_value, p < 0.05 AS drifted FROM ksq",
     "ewma_chart": f"WITH {EWMA} SELECT commodity, t, {r('ewma')} AS ewma, ABS(ewma) > 1.0000001e0 AS out_of_control FROM ew WHERE ewma IS NOT NULL",
     "data_quality_score": f"WITH {QUALITY} SELECT commodity, n, span AS span_days, stale AS stale_days, {r('repeats')} AS repeat_share, {r('outliers')} AS outlier_share, {r('score', 1)} AS score FROM quality",
-    "drift_report": f"WITH {PSI}, {KS}, {EWMA}, {QUALITY} SELECT k.commodity, {r('p.psi')} AS psi, {r('k.d')} AS ks_d, {r('k.p')} AS ks_p, x.n_out, {r('q.score', 1)} AS quality_score FROM ksq k LEFT JOIN psi p ON p.commodity = k.commodity LEFT JOIN (SELECT commodity, SUM(CASE WHEN ABS(ewma) > 1.0000001e0 THEN 1 ELSE 0 END) AS n_out FROM ew GROUP BY 1) x ON x.commodity = k.commodity LEFT JOIN quality q ON q.commodity = k.commodity",
+    "drift_report": f"WITH {PSI}, {KS}, {EWMA}, {QUALITY} SELECT k.commodity, {r('p.psi')} AS psi, {r('k.d')} AS ks_d, {r('k.p')} AS ks_p, x.n_out, {r('q.score', 1)} AS quality_score FROM ksq k LEFT JOIN psi p ON p.commodity = k.commodity LEFT JOIN (SELECT commodity, SUM(CASE WHEN ABS(ewma) > 1.0000001e0 THEN 1 ELSE 0 END) AS n_out FROM ew GROUP BY 1) x ON x.commodity = k.commodity LEFT JOIN quality q ON q.commodity = k.commodity JOIN (SELECT commodity FROM daily GROUP BY 1 HAVING COUNT(*) >= 120) g ON g.commodity = k.commodity",
     "ndvi_summary": f"WITH {NDVI} SELECT district, COUNT(*) AS n, {r('AVG(ndvi)')} AS mean_ndvi, {r('MAX_BY(ndvi, year * 12 + month)')} AS latest, {r('MAX_BY(ndvi, year * 12 + month) - AVG(ndvi)')} AS anomaly FROM ndvi GROUP BY 1",
     "ndvi_rain_crosscheck": f"WITH {NDVI}, l AS (SELECT *, LAG(ndvi) OVER (PARTITION BY state, district ORDER BY year, month) AS before FROM ndvi) SELECT l.district, l.year, l.month, {r('l.ndvi - l.before')} AS change, CASE WHEN l.ndvi - l.before < -0.0001 AND r.departure_pct < -19 THEN 'drought' WHEN l.ndvi - l.before < -0.0001 THEN 'other' ELSE 'none' END AS cause FROM l JOIN district_map d ON d.state = l.state AND d.district = l.district JOIN rainfall r ON r.sub_division = d.sub_division AND r.year = l.year AND r.month = l.month WHERE l.before IS NOT NULL",
     "recommendation": f"WITH {ONE}, dis AS (SELECT commodity, COUNT(*) AS n, AVG(CASE WHEN departure_pct < -19 THEN 1e0 ELSE 0e0 END) * 100 AS risk FROM panel GROUP BY 1), m AS (SELECT commodity, REGR_SLOPE(avg_price, year * 12 + month) / AVG(avg_price) * 100 AS trend FROM national GROUP BY 1), e AS (SELECT d.commodity, d.risk, m.trend, f.effect, f.p, CASE WHEN f.p < 0.05 THEN 1 ELSE 0 END + CASE WHEN d.risk >= 40 THEN 1 ELSE 0 END + CASE WHEN m.trend > 0 THEN 1 ELSE 0 END AS evidence FROM dis d LEFT JOIN m ON m.commodity = d.commodity LEFT JOIN fit f ON f.commodity = d.commodity) SELECT commodity, {r('risk')} AS risk, {r('trend')} AS trend_pct, {r('effect')} AS effect, evidence, CASE WHEN evidence >= 3 THEN 'high' WHEN evidence = 2 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN risk >= 70 AND evidence >= 2 THEN 'LOCK' WHEN risk >= 70 THEN 'CONSIDER' WHEN risk >= 40 THEN 'MONITOR' WHEN evidence > 0 THEN 'WATCH' ELSE 'NONE' END AS action FROM e",

@@ -19,7 +19,7 @@ _STACKED = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS
 #: The same reports with whole groups in one task, as the oracle has them.
 PLAIN = {
     "rolling_price_trend": f"SELECT state, district, commodity, arrival_date, src_order, src_line, src_part, {r('AVG(modal_price) OVER w')} AS rolling_avg, {r('MIN(modal_price) OVER w')} AS rolling_min, {r('MAX(modal_price) OVER w')} AS rolling_max, COUNT(*) OVER w AS n FROM prices WINDOW w AS (PARTITION BY state, district, commodity ORDER BY arrival_date, modal_price, src_order, src_line, src_part ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
-    "regional_margin": f"WITH g AS (SELECT region, segment, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit, SUM(sales) AS sales, AVG(is_loss * 100e0) AS loss_pct FROM sales GROUP BY 1, 2) SELECT region, segment, n, {r('margin')} AS margin, {r('mid')} AS median_margin, {r('profit')} AS profit, {r('loss_pct')} AS loss_pct, RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank, {r('margin - AVG(margin) OVER ()')} AS against_overall FROM g",
+    "regional_margin": f"WITH g AS (SELECT region, segment, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit, SUM(sales) AS sales, AVG(is_loss * 100e0) AS loss_pct FROM sales GROUP BY 1, 2) SELECT region, segment, n, {r('margin')} AS margin, {r('mid')} AS median_margin, {r('profit')} AS profit, {r('loss_pct')} AS loss_pct, RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank, {r('margin - AVG(margin) OVER ()')} AS against_overall, CASE WHEN margin - AVG(margin) OVER () > 5 THEN 'Above Target' WHEN margin - AVG(margin) OVER () >= -5 THEN 'At Target' ELSE 'Below Target' END AS performance_tier FROM g",
     "discount_tier_analysis": f"WITH t AS (SELECT discount_tier, COUNT(*) AS n, AVG(profit_margin) AS margin, MEDIAN(profit_margin) AS mid, SUM(profit) AS profit FROM sales GROUP BY 1) SELECT discount_tier, n, {r('n * 100e0 / SUM(n) OVER ()')} AS share_pct, {r('margin')} AS margin, {r('mid')} AS median_margin, CASE WHEN margin >= 15 THEN 'Healthy' WHEN margin >= 0 THEN 'At Risk' ELSE 'Loss' END AS health FROM t",
     "outlier_audit_iqr": f"WITH q AS (SELECT category, {_p(0.25, 'sales')} AS q1, {_p(0.75, 'sales')} AS q3 FROM sales GROUP BY 1) SELECT s.category, COUNT(*) AS n, {r('MIN(q.q3 + 1.5e0 * (q.q3 - q.q1))')} AS upper_bound, SUM(CASE WHEN s.sales > q.q3 + 1.5e0 * (q.q3 - q.q1) THEN 1 ELSE 0 END) AS n_beyond, {r('AVG(s.is_loss * 1e0)')} AS loss_share, SUM(CASE WHEN s.sub_category IS NULL THEN 1 ELSE 0 END) AS missing_sub_category FROM sales s JOIN q ON q.category = s.category GROUP BY 1",
     "feature_baseline_stats": f"WITH f AS ({_STACKED}) SELECT feature, COUNT(x) AS n, {r('AVG(x)')} AS mean, {r('STDDEV_SAMP(x)')} AS sd, {r('MIN(x)')} AS least, {r('MAX(x)')} AS most, {r(_p(0.05, 'x'))} AS p5, {r(_p(0.25, 'x'))} AS p25, {r(_p(0.5, 'x'))} AS p50, {r(_p(0.75, 'x'))} AS p75, {r(_p(0.95, 'x'))} AS p95 FROM f GROUP BY 1",
@@ -53,7 +53,7 @@ def regional_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(views.run(spark, sf_dir, "SELECT region, segment, profit_margin, profit, sales, is_loss FROM sales"), "sales")
     sums = rows.groupBy("region", "segment").agg(F.count("*").alias("n"), F.avg("profit_margin").alias("margin"), F.sum("profit").alias("profit"), F.avg(F.col("is_loss") * 100).alias("loss_pct"))
     both = sums.join(ranks.median(rows, ["region", "segment"], "profit_margin", "mid").drop("n"), ["region", "segment"])
-    return both.selectExpr("region", "segment", "n", f"{r('margin')} AS margin", f"{r('mid')} AS median_margin", f"{r('profit')} AS profit", f"{r('loss_pct')} AS loss_pct", f"RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank", f"{r('margin - AVG(margin) OVER ()')} AS against_overall")
+    return both.selectExpr("region", "segment", "n", f"{r('margin')} AS margin", f"{r('mid')} AS median_margin", f"{r('profit')} AS profit", f"{r('loss_pct')} AS loss_pct", f"RANK() OVER (ORDER BY {r('margin', 6)} DESC) AS margin_rank", f"{r('margin - AVG(margin) OVER ()')} AS against_overall", "CASE WHEN margin - AVG(margin) OVER () > 5 THEN 'Above Target' WHEN margin - AVG(margin) OVER () >= -5 THEN 'At Target' ELSE 'Below Target' END AS performance_tier")
 
 
 @registry.register("discount_tier_analysis", _oracle("discount_tier_analysis"))

@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: Text of each query that is one, and the views it computes once.
+texts: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def register(key: str, oracle: str | None = None) -> Callable[[Query], Query]:

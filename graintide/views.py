@@ -7,6 +7,7 @@ expression, so a query and its check see the same rows.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,14 @@ _ORDER = list(VIEWS)
 _NEEDS = {k: [v for v in _ORDER[: _ORDER.index(k)] if v in set(VIEWS[k].replace("(", " ").replace(",", " ").split())] for k in VIEWS}
 
 
-def cte(sql: str) -> str:
-    """The query with the views that it names, directly or through others, put before it."""
+def cte(sql: str, given: frozenset[str] = frozenset()) -> str:
+    """The query with the views that it names, directly or through others, put before it; those ``given`` are there already."""
     words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
     used: list[str] = []
 
     def add(view: str) -> None:
+        if view in given:
+            return
         for v in _NEEDS[view]:
             add(v)
         if view not in used:
@@ -89,3 +92,26 @@ def run(spark: SparkSession, sf_dir: str, sql: str, kept: tuple[str, ...] = ())
             keep(spark.sql(cte(f"SELECT * FROM {view}")), view).createOrReplaceTempView(f"kept_{view}")
             sql = word.sub(f"kept_{view}", sql)
     return spark.sql(cte(sql))
+
+
+def over(spark: SparkSession, sql: str, given: dict[str, DataFrame], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The query over the caller's own tables in the views' names; views that aren't given are made of those that are.
+
+    Tables take names of their own while the query is resolved, so nothing of the session is hidden or left behind.
+    """
+    tag, names = uuid.uuid4().hex[:12], {}
+    whole = cte(sql, frozenset(given))
+    missing = [t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", whole)]
+    if missing:
+        raise ValueError(f"the query reads {', '.join(missing)}: give the views that it is made of")
+    for view, rows in given.items():
+        names[view] = f"{view}_{tag}"
+        whole = re.sub(rf"\b{view}\b(?!\s+AS \()", names[view], whole)
+        if view in kept:
+            rows = keep(rows, view)
+        rows.createOrReplaceTempView(names[view])
+    try:
+        return spark.sql(whole)
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
