@@ -15,8 +15,9 @@ Classes are the connected components.  Two steps meet all candidates without a r
 for each of them:
 
 * every value elects a centre; each text is aligned with the centre it shares most
-  values with, then with one centre in another class, then with all that are left in
-  other classes, so groups of copies become one class for a row a text and value;
+  values with, then with one centre in another class, then for each two classes that still
+  meet at a centre one pair of their texts is aligned, and another in the next turn, so
+  groups of copies become one class for a row a text and value;
 * where a value still holds several classes, its rows go to one task (to one of
   several, by pairs of blocks, if they are many), which compares the word counts of
   all pairs of different classes.  Only pairs that these don't rule out, at the first
@@ -60,6 +61,8 @@ BLOCK = 2_000
 _MEMO = 200_000
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
+#: Turns in which texts meet centres of other classes; what they leave apart is compared by values.
+TURNS = 3
 #: Copies of a class's first row when its members look up their class.
 SALTS = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -470,10 +473,12 @@ def classes(docs: DataFrame, text: str = "text", block: int = BLOCK) -> tuple[Da
     often = met.filter("rid != centre").groupBy("rid", "centre").agg(F.count(F.lit(1)).alias("n"))
     best = often.groupBy("rid").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")).select(*pair).distinct()
     roots = components(linked(best))
-    for every in (False, True):
+    for turn in range(TURNS):
         apart = _rooted(_rooted(met.filter("rid != centre"), roots, "rid", "root"), roots, "centre", "root_c").filter("root != root_c")
-        if not every:  # one centre of another class a text: joins the parts of a large group before all pairs left are met
+        if turn == 0:  # one centre of another class a text
             apart = apart.groupBy("rid").agg(F.min_by("centre", F.xxhash64("rid", "centre")).alias("centre"))
+        else:  # one pair of texts for two classes, another one each turn
+            apart = apart.groupBy(F.least("root", "root_c"), F.greatest("root", "root_c")).agg(F.min_by(F.struct("rid", "centre"), F.xxhash64(F.lit(turn), "rid", "centre")).alias("pair")).select("pair.*")
         later = linked(apart.select(*pair).distinct())
         if not later.isEmpty():
             roots = contracted(roots, later)
