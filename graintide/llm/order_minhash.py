@@ -427,9 +427,14 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     if live.isEmpty():
         return roots
     found = _marked(sketches, live.select("rid").distinct()).filter("marked").select("rid", "n", "bag", "wide", "sketch")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    live = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
+    # rows of a value's largest class never meet each other: they are dealt once for each block of the others
+    top = live.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"))
+    large, others, own = F.col("root") == F.col("top.root"), F.ceil((F.col("size") - F.col("top.n")) / block).cast("int"), F.ceil(F.col("top.n") / block).cast("int")
+    live = live.join(top, "value").withColumns({"large": large, "others": others, "own": own})
+    place = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    live = live.withColumn("block", F.when(F.col("large"), F.col("others") + place("own")).otherwise(place("others")))
+    meets = F.col("others") + F.when(F.col("large"), 0).otherwise(F.col("own"))
+    dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
     rows = dealt.join(found, "rid").repartition("value", "turn_a", "turn_b").sortWithinPartitions("value", "turn_a", "turn_b")
     pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "sketch").mapInArrow(_met, "u long, v long")
     links = _links(keep(pairs.distinct(), "pairs"), texts)
