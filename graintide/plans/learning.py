@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graintide import registry, views
-from graintide.shared import keep
+from graintide.shared import folder, keep
 
 ROUNDS, DEPTH, RATE, SEED = 20, 4, 0.1, 7
 
@@ -64,29 +69,66 @@ def importances(model: PipelineModel, rows: DataFrame, names: int = 5) -> list[t
     return [(named[k], float(weights[k])) for k in order]
 
 
+_saved: dict[tuple, str] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str, sql: str) -> int:
+    """A number that changes with the name, size or time of any file that the text reads."""
+    text = views.cte(sql)
+    files = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in views.TABLES if re.search(rf"\b{t}\b", text)]
+    whole = files[0]
+    for more in files[1:]:
+        whole = whole.unionByName(more)
+    return whole.agg(F.bit_xor(F.xxhash64(*whole.columns))).first()[0]
+
+
+def saved_model(spark: SparkSession, sf_dir: str, sql: str, name: str, train: Callable[[], PipelineModel]) -> PipelineModel:
+    """The model of a text's rows, trained once a session and saved in the shared folder, and anew when the files that the text reads change."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, sql, stamp(spark, sf_dir, sql))
+    if key not in _saved:
+        path = folder(spark, name)
+        train().save(path)
+        _saved[key] = path
+    return PipelineModel.load(_saved[key])
+
+
 # ---- price spikes ----------------------------------------------------------------------------
 
 SPIKES = """WITH p AS (SELECT * FROM panel WHERE n >= {least}),
  cutp AS (SELECT commodity, percentile_cont(0.75) WITHIN GROUP (ORDER BY avg_price) AS p75 FROM p GROUP BY 1 HAVING COUNT(*) >= 30),
  f AS (SELECT *, LAG(departure_pct, 1) OVER w AS lag1, LAG(departure_pct, 2) OVER w AS lag2, LAG(departure_pct, 3) OVER w AS lag3,
+  LEAD(avg_price, 1) OVER w AS next_price, LEAD(year * 12 + month, 1) OVER w AS next_month,
   AVG(avg_price) OVER w3 AS roll, COALESCE(STDDEV_SAMP(avg_price) OVER w3 / NULLIF(AVG(avg_price) OVER w3, 0), 0) AS volatility
   FROM p WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month),
   w3 AS (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT f.*, sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos,
- CASE WHEN avg_price >= p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp USING (commodity) WHERE lag3 IS NOT NULL AND departure_pct IS NOT NULL"""
+ CASE WHEN {judged} >= p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp USING (commodity) WHERE lag3 IS NOT NULL AND departure_pct IS NOT NULL{more}"""
+#: The price that is judged: the month's own, or the next month's, where the series has that month.
+HORIZONS = {0: {"judged": "avg_price", "more": ""}, 1: {"judged": "next_price", "more": " AND next_month = year * 12 + month + 1"}}
 SPIKE_NUMBERS = ["departure_pct", "lag1", "lag2", "lag3", "roll", "volatility", "month_sin", "month_cos"]
 SPIKE_KEY = ["commodity", "state", "district", "year", "month"]
 
 
-def spike_rows(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    """The panel's months of at least ``least`` prices with their features and whether the price is in its commodity's top quarter."""
-    return common(keep(views.run(spark, sf_dir, SPIKES.format(least=least)), "spikes").withColumn("place", F.col("district")), "place")
+def spike_rows(spark: SparkSession, sf_dir: str, least: int = 1, horizon: int = 0) -> DataFrame:
+    """The panel's months of at least ``least`` prices with their features and whether the price is in its commodity's top quarter.
+
+    At horizon 0 that is the month's own price, which the features ``roll`` and ``volatility`` hold too; at horizon 1
+    the next month's, known for months that have a next one.
+    """
+    sql = SPIKES.format(least=least, **HORIZONS[horizon])
+    return common(keep(views.run(spark, sf_dir, sql), "spikes").withColumn("place", F.col("district")), "place")
 
 
 def spike_model(rows: DataFrame, rounds: int = ROUNDS) -> PipelineModel:
     return classifier(["commodity", "place"], SPIKE_NUMBERS, "spike", boosted(rounds)).fit(weighted(rows, "spike"))
 
 
+def saved_spike_model(spark: SparkSession, sf_dir: str, rows: DataFrame, horizon: int = 0) -> PipelineModel:
+    """The model of the training part of ``spike_rows``, shared by the queries that score with it."""
+    sql = SPIKES.format(least=1, **HORIZONS[horizon])
+    return saved_model(spark, sf_dir, sql, "spike_model", lambda: spike_model(split(rows, SPIKE_KEY)[0]))
+
+
 def _figures(spark: SparkSession, found: list[tuple[str, float]]) -> DataFrame:
     return spark.createDataFrame(found, "name string, value double")
 
@@ -98,11 +140,26 @@ def spike_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split(rows, SPIKE_KEY)
     if train.select("spike").distinct().count() < 2 or test.select("spike").distinct().count() < 2:
         return _figures(spark, [])
-    model = spike_model(train)
+    model = saved_spike_model(spark, sf_dir, rows)
     found = [("auc", auc(model, test, "spike")), ("train_rows", float(train.count())), ("test_rows", float(test.count()))]
     return _figures(spark, found + [(f"importance of {k}", v) for k, v in importances(model, train)])
 
 
+@registry.register("spike_horizons")
+def spike_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out area, rows and share of spikes where the month itself is judged and where the next one is; too few rows of a horizon give none."""
+    found = []
+    for horizon in HORIZONS:
+        rows = spike_rows(spark, sf_dir, horizon=horizon)
+        train, test = split(rows, SPIKE_KEY)
+        if train.select("spike").distinct().count() < 2 or test.select("spike").distinct().count() < 2:
+            continue
+        model = saved_spike_model(spark, sf_dir, rows, horizon)
+        n, share = rows.agg(F.count("*"), F.avg("spike")).first()
+        found.append((horizon, n, float(share), auc(model, test, "spike")))
+    return spark.createDataFrame(found, "horizon int, n long, spike_share double, auc double")
+
+
 def risk_scores(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """The probability of a spike, in per cent, of each district's newest month, beside its commodity's mean, least and greatest."""
     newest = Window.partitionBy("commodity", "state", "district").orderBy(F.desc("year"), F.desc("month"))
@@ -118,7 +175,7 @@ def spike_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spike_rows(spark, sf_dir)
     if rows.select("spike").distinct().count() < 2:
         return spark.createDataFrame([], "commodity string, state string, district string, year int, month int, risk_score double, overall double, highest double, lowest double")
-    return risk_scores(rows, spike_model(split(rows, SPIKE_KEY)[0]))
+    return risk_scores(rows, saved_spike_model(spark, sf_dir, rows))
 
 
 @registry.register("top_risk_districts")
@@ -137,10 +194,13 @@ COMBO = ["category", "sub_category", "region", "segment"]
 GAIN, LOSS, STEPS, GREATEST = 50.0, -50.0, 20, 0.8
 
 
+SALES = "SELECT order_id, line_no, category, sub_category, region, segment, ship_mode, CAST(discount AS DOUBLE) AS discount, CAST(quantity AS DOUBLE) AS quantity, CAST(DATEDIFF(ship_date, order_date) AS DOUBLE) AS shipping_delay, CAST(profit AS DOUBLE) AS profit, is_loss FROM sales"
+SALE_KEY = ["order_id", "line_no"]
+
+
 def loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales with the classifier's features."""
-    sql = "SELECT order_id, line_no, category, sub_category, region, segment, ship_mode, CAST(discount AS DOUBLE) AS discount, CAST(quantity AS DOUBLE) AS quantity, CAST(DATEDIFF(ship_date, order_date) AS DOUBLE) AS shipping_delay, CAST(profit AS DOUBLE) AS profit, is_loss FROM sales"
-    return keep(views.run(spark, sf_dir, sql), "sales")
+    return keep(views.run(spark, sf_dir, SALES), "sales")
 
 
 def _loss_model(train: DataFrame, learner: GBTClassifier | LogisticRegression) -> PipelineModel:
@@ -150,7 +210,7 @@ def _loss_model(train: DataFrame, learner: GBTClassifier | LogisticRegression) -
 @registry.register("loss_classifier")
 def loss_classifier(spark: SparkSession, sf_dir: str, depths: tuple[int, ...] = (3, 5)) -> DataFrame:
     """Boosted trees of each depth and a logistic regression by their held-out area, precision, recall and F1; ``chosen`` marks the best area."""
-    train, test = split(loss_rows(spark, sf_dir), ["order_id", "line_no"])
+    train, test = split(loss_rows(spark, sf_dir), SALE_KEY)
     if train.select("is_loss").distinct().count() < 2 or test.select("is_loss").distinct().count() < 2:
         return spark.createDataFrame([], "model string, auc double, precision double, recall double, f1 double, chosen boolean")
     learners = {f"trees of depth {d}": boosted(depth=d) for d in depths} | {"logistic regression": LogisticRegression(maxIter=50)}
@@ -166,6 +226,47 @@ def loss_classifier(spark: SparkSession, sf_dir: str, depths: tuple[int, ...] =
     return spark.createDataFrame([(*x, x[1] == best) for x in found], "model string, auc double, precision double, recall double, f1 double, chosen boolean")
 
 
+#: The grid's rounds, depths and rates.
+GRID = ((100, 200), (3, 5, 7), (0.05, 0.1))
+
+
+def grid_scores(rows: DataFrame, rounds: Sequence[int] = GRID[0], depths: Sequence[int] = GRID[1], rates: Sequence[float] = GRID[2], parallel: int = 4) -> DataFrame:
+    """Areas of boosted trees under every combination, ``parallel`` of them trained at a time; ``chosen`` marks the best on the validation rows.
+
+    A fifth of the rows by key is for testing and a fifth of the others for validation, so that the test area of
+    the chosen one isn't the greatest of many.  Ties go to fewer rounds, then less depth, then the lower rate.  A part of
+    one label only gives no row.
+    """
+    shape = "rounds int, depth int, rate double, validation_auc double, test_auc double, chosen boolean"
+    rest, test = split(rows, SALE_KEY)
+    part = F.pmod(F.xxhash64(*SALE_KEY, F.lit("validation")), F.lit(5))
+    train, valid = rest.filter(part > 0), rest.filter(part == 0)
+    if any(x.select("is_loss").distinct().count() < 2 for x in (train, valid, test)):
+        return rows.sparkSession.createDataFrame([], shape)
+    learner = boosted().setLabelCol("is_loss").setWeightCol("weight")
+    encoder = Pipeline(stages=classifier(LOSS_WORDS, LOSS_NUMBERS, "is_loss", learner).getStages()[:-1]).fit(train)
+    known = keep(encoder.transform(weighted(train, "is_loss")).select("features", "is_loss", "weight"), "grid")
+    held = [keep(encoder.transform(x).select("features", "is_loss"), "grid") for x in (valid, test)]
+    grid = ParamGridBuilder().addGrid(learner.maxIter, list(rounds)).addGrid(learner.maxDepth, list(depths)).addGrid(learner.stepSize, list(rates)).build()
+    fits = learner.fitMultiple(known, grid)
+
+    def one(_: int) -> tuple:
+        k, model = next(fits)
+        cell = grid[k]
+        return (cell[learner.maxIter], cell[learner.maxDepth], cell[learner.stepSize], *[auc(model, x, "is_loss") for x in held])
+
+    with ThreadPool(parallel) as pool:
+        found = sorted(pool.map(one, range(len(grid)), chunksize=1))
+    best = min(range(len(found)), key=lambda k: (-found[k][3], k))
+    return rows.sparkSession.createDataFrame([(*x, k == best) for k, x in enumerate(found)], shape)
+
+
+@registry.register("loss_grid")
+def loss_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve scores of the loss classifier; the query takes 5 and 10 rounds in place of 100 and 200."""
+    return grid_scores(loss_rows(spark, sf_dir), rounds=(5, 10))
+
+
 def discount_scan(sales: DataFrame, model: PipelineModel, least: int = 5, quantity: float = 3.0, delay: float = 4.0) -> DataFrame:
     """Loss risk and expected profit of every segment of at least ``least`` sales at each step of the scan, shipped in the commonest mode."""
     gains, losses = F.avg(F.when(F.col("profit") >= 0, F.col("profit"))), F.avg(F.when(F.col("profit") < 0, F.col("profit")))
@@ -187,7 +288,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = loss_rows(spark, sf_dir)
     if sales.select("is_loss").distinct().count() < 2:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in COMBO) + ", n bigint, step int, discount double, loss_risk double, expected_profit double")
-    return discount_scan(sales, _loss_model(split(sales, ["order_id", "line_no"])[0], boosted()))
+    return discount_scan(sales, saved_model(spark, sf_dir, SALES, "loss_model", lambda: _loss_model(split(sales, SALE_KEY)[0], boosted())))
 
 
 @registry.register("safe_discount")

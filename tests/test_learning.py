@@ -31,6 +31,51 @@ def test_losses_follow_the_discount(spark):
     assert all(35 <= x.safe_discount_pct <= 43 for x in learning.safe_discounts(scan).collect())
 
 
+def test_one_training_serves_the_queries_that_score(spark, monkeypatch):
+    trained = []
+    own = learning._loss_model
+    monkeypatch.setattr(learning, "_loss_model", lambda *a: trained.append(1) or own(*a))
+    monkeypatch.setattr(learning, "_saved", {})
+    scan = learning.safe_discount(spark, SF)
+    best = learning.batch_safe_discounts(spark, SF)
+    assert len(trained) == 1 and learning.safe_discounts(scan).exceptAll(best).count() == 0 < best.count()
+    learning.saved_model(spark, SF, learning.SALES + " WHERE discount > 0", "loss_model", lambda: own(learning.loss_rows(spark, SF), learning.boosted(2)))
+    assert len(learning._saved) == 2
+
+
+def test_a_changed_file_changes_the_stamp(spark, tmp_path):
+    sql, place = "SELECT r_name FROM region", f"{tmp_path}/region.parquet"
+    spark.range(3).write.parquet(place)
+    before = learning.stamp(spark, str(tmp_path), sql)
+    assert learning.stamp(spark, str(tmp_path), sql) == before
+    spark.range(3).write.mode("append").parquet(place)
+    assert learning.stamp(spark, str(tmp_path), sql) != before
+
+
+def test_grid_has_a_score_for_each_combination(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("order_id"), F.lit(1).alias("line_no"), *[F.format_string("%s%d", F.lit(c), F.col("id") % 2).alias(c) for c in learning.LOSS_WORDS],
+        ((F.col("id") * 7) % 17 / 20).alias("discount"), ((F.col("id") * 11) % 13).cast("double").alias("quantity"), F.lit(4.0).alias("shipping_delay"),
+    ).withColumn("is_loss", ((F.col("discount") > 0.41) != (F.col("quantity") > 5)).cast("int"))
+    found = learning.grid_scores(rows, rounds=(1, 4), depths=(1, 2), rates=(0.1,), parallel=2).toPandas()
+    assert list(zip(found["rounds"], found.depth)) == [(1, 1), (1, 2), (4, 1), (4, 2)] and found.chosen.sum() == 1
+    chosen = found[found.chosen].iloc[0]
+    assert chosen.validation_auc == found.validation_auc.max() and chosen.depth == 2 and chosen.test_auc > 0.99
+    assert found[found.depth == 1].test_auc.max() < 0.8
+    assert learning.grid_scores(rows.filter("is_loss = 0"), rounds=(1,)).count() == 0 == learning.grid_scores(rows.limit(0), rounds=(1,)).count()
+
+
+def test_next_months_spike_is_judged_by_the_next_month(spark):
+    key = ["commodity", "state", "district"]
+    own = {(*[r[c] for c in key], r.year * 12 + r.month): r.spike for r in learning.spike_rows(spark, SF).collect()}
+    rows = learning.spike_rows(spark, SF, horizon=1).collect()
+    assert rows and all(r.next_month == r.year * 12 + r.month + 1 for r in rows)
+    both = [(r.spike, own[k]) for r in rows if (k := (*[r[c] for c in key], r.next_month)) in own]
+    assert both and all(a == b for a, b in both)
+    found = {r.horizon: r for r in learning.spike_horizons(spark, SF).collect()}
+    assert set(found) == {0, 1} and found[1].n == len(rows) < found[0].n and found[1].auc < found[0].auc
+
+
 def test_the_prefix_rule_stops_at_the_first_loss(spark):
     shape = [("a", "b", "c", "d", 9, k, k / 25, 0.1, -1.0 if k in bad else 1.0) for bad in ([4, 5],) for k in range(20)]
     shape += [("z", "b", "c", "d", 9, k, k / 25, 0.1, -1.0 if k == 0 else 1.0) for k in range(20)]
