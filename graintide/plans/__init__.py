@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "estimators", "monitoring", "ordered", "forecasting", "tails", "ingestion", "files", "series", "upkeep", "causal", "learning", "reports", "commodity", "advice")
+MODULES = ("relational", "estimators", "monitoring", "ordered", "forecasting", "tails", "ingestion", "repairs", "files", "series", "upkeep", "causal", "learning", "reports", "commodity", "advice")
 
 
 def load() -> None:

@@ -36,19 +36,12 @@ DUE = f"(SELECT *, arrival_date > {TODAY} AS is_future FROM prices)"
 SQL = {
     # scans
     "scan_prices": f"SELECT state, district, market, commodity, arrival_date, {r('modal_price')} AS modal_price FROM prices WHERE state = 'ASIA' ORDER BY arrival_date DESC, modal_price DESC, src_order, src_line, src_part LIMIT 500",
-    "scan_rainfall": f"SELECT sub_division, year, month, {r('departure_pct')} AS departure_pct FROM rainfall WHERE departure_pct BETWEEN -100 AND 200 AND lower(sub_division) = lower('subdiv_3')",
     "newest_prices": f"SELECT commodity, market, arrival_date, {r('modal_price')} AS modal_price FROM prices ORDER BY arrival_date DESC, modal_price DESC, src_order, src_line, src_part LIMIT 100",
     # cleaning
     "date_quality": f"SELECT COUNT(*) AS n_rows, MIN(arrival_date) AS min_date, MAX(arrival_date) AS max_date, SUM(CASE WHEN arrival_date IS NULL THEN 1 ELSE 0 END) AS null_dates, SUM(CASE WHEN arrival_date > {TODAY} THEN 1 ELSE 0 END) AS future_dates FROM prices",
-    "date_parse_summary": f"SELECT CASE WHEN arrival_date IS NULL THEN 'missing' WHEN arrival_date > {TODAY} THEN 'future' WHEN arrival_date < DATE '1990-01-01' THEN 'impossible' ELSE 'ok' END AS status, COUNT(*) AS n, SUM(CASE WHEN day(arrival_date) <= 12 AND day(arrival_date) <> month(arrival_date) THEN 1 ELSE 0 END) AS ambiguous FROM prices GROUP BY 1",
-    "clean_numbers": f"SELECT commodity, COUNT(*) AS n, {r('SUM(v)')} AS total FROM (SELECT commodity, TRY_CAST(replace(trim(CASE WHEN src_line = 1 THEN 'na' ELSE concat(' 1,', CAST(src_part AS VARCHAR(20))) END), ',', '') AS DOUBLE) AS v FROM prices) t GROUP BY commodity",
-    "canonical_state": "SELECT CASE lower(trim(state)) WHEN 'asia' THEN 'Asia' WHEN 'europe' THEN 'Europe' WHEN 'africa' THEN 'Africa' ELSE state END AS state, COUNT(*) AS n FROM prices GROUP BY 1",
-    "state_backfill": "WITH lookup AS (SELECT lower(trim(district)) AS k, MIN(state) AS known FROM prices GROUP BY 1), gaps AS (SELECT CASE WHEN src_line % 3 = 0 THEN '' ELSE state END AS state, district FROM prices) SELECT COALESCE(NULLIF(g.state, ''), l.known) AS state, g.district, COUNT(*) AS n, SUM(CASE WHEN g.state = '' AND l.known IS NOT NULL THEN 1 ELSE 0 END) AS matched FROM gaps g LEFT JOIN lookup l ON lower(trim(g.district)) = l.k GROUP BY 1, 2",
-    "district_to_subdivision": "SELECT p.state, p.district, d.sub_division, COUNT(*) AS n FROM prices p JOIN district_map d ON d.state = p.state AND d.district = p.district GROUP BY 1, 2, 3",
     "rescale_departure": f"SELECT t.sub_division, t.year, t.month, {r('CASE WHEN m.most < 1 THEN t.ratio * 100 ELSE t.ratio END')} AS departure_pct, {r('CASE WHEN m.most / 100 < 1 THEN t.ratio ELSE t.ratio / 100 END')} AS smaller FROM (SELECT sub_division, year, month, departure_pct / 100 AS ratio FROM rainfall) t CROSS JOIN (SELECT MAX(ABS(departure_pct)) / 100 AS most FROM rainfall) m",
     "cyclic_month": f"SELECT DISTINCT month, {r('sin(2 * pi() * month / 12)')} AS month_sin, {r('cos(2 * pi() * month / 12)')} AS month_cos FROM rainfall",
     "retail_clean": f"SELECT region, COUNT(*) AS n, {r('SUM(sales)')} AS sales, {r('SUM(profit)')} AS profit FROM sales GROUP BY 1",
-    "retail_features": f"SELECT discount_tier, is_loss, year(order_date) AS order_year, quarter(order_date) AS order_quarter, COUNT(*) AS n, {r('AVG(profit_margin)')} AS margin, {r('AVG(ln(1 + sales))')} AS log_sales FROM sales GROUP BY 1, 2, 3, 4",
     "discount_bands": f"SELECT CASE WHEN discount <= 0 THEN 0 WHEN discount <= 0.2 THEN 1 WHEN discount <= 0.4 THEN 2 ELSE 3 END AS band, COUNT(*) AS n, {r('SUM(profit) / SUM(sales)')} AS margin FROM sales GROUP BY 1",
     # maintenance
     "find_duplicate_keys": "SELECT market, commodity, variety, grade, arrival_date, COUNT(*) AS n FROM prices WHERE variety IS NOT NULL AND grade IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING COUNT(*) > 1",
@@ -56,7 +49,6 @@ SQL = {
     "latest_per_key": f"SELECT commodity, arrival_date, market, {r('modal_price')} AS modal_price FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY arrival_date DESC, modal_price DESC, src_order, src_line, src_part) AS seen FROM prices) t WHERE seen = 1",
     "latest_row_per_district": f"SELECT commodity, state, district, year, month, {r('avg_price')} AS avg_price FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity, state, district ORDER BY year DESC, month DESC) AS seen FROM monthly) t WHERE seen = 1",
     "upsert_prices": "WITH old AS (SELECT DISTINCT market, commodity, variety, grade, arrival_date FROM prices WHERE src_order % 2 = 0), new AS (SELECT DISTINCT market, commodity, variety, grade, arrival_date FROM prices WHERE src_order % 3 = 0) SELECT n.commodity, COUNT(*) AS inserted FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.market = n.market AND o.commodity = n.commodity AND o.arrival_date = n.arrival_date AND o.variety IS NOT DISTINCT FROM n.variety AND o.grade IS NOT DISTINCT FROM n.grade) GROUP BY 1",
-    "insert_or_ignore": "WITH old AS (SELECT sub_division, year, month FROM rainfall WHERE year < 1997) SELECT r.year, COUNT(*) AS inserted FROM rainfall r LEFT JOIN old o ON o.sub_division = r.sub_division AND o.year = r.year AND o.month = r.month WHERE o.year IS NULL GROUP BY 1",
     # joins
     "join_price_rain": f"SELECT commodity, sub_division, COUNT(*) AS n, {r('AVG(avg_price)')} AS avg_price, {r('AVG(departure_pct)')} AS departure FROM panel GROUP BY 1, 2",
     "panel_join": f"SELECT commodity, state, district, year, month, n, {r('avg_price')} AS avg_price, {r('departure_pct')} AS departure_pct FROM panel WHERE n >= 3",
@@ -65,7 +57,6 @@ SQL = {
     "join_to_group_summary": f"WITH g AS (SELECT category, AVG(profit_margin) AS margin FROM sales GROUP BY 1) SELECT s.category, s.sub_category, COUNT(*) AS n, {r('AVG(s.profit_margin) - MIN(g.margin)')} AS against_category FROM sales s JOIN g ON g.category = s.category GROUP BY 1, 2",
     "left_deficit_freq": f"WITH f AS (SELECT sub_division, AVG(CASE WHEN departure_pct < -19 THEN 1e0 ELSE 0e0 END) AS freq FROM rainfall GROUP BY 1), p AS (SELECT commodity, state, district, AVG(modal_price) AS price FROM prices GROUP BY 1, 2, 3) SELECT p.commodity, COUNT(*) AS n, {r('corr(p.price, f.freq)')} AS pearson FROM p LEFT JOIN district_map d ON d.state = p.state AND d.district = p.district LEFT JOIN f ON f.sub_division = d.sub_division WHERE f.freq IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 8",
     "anti_new_keys": "WITH old AS (SELECT DISTINCT market, grade FROM prices WHERE src_order % 97 = 0) SELECT DISTINCT p.market, p.grade FROM prices p WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.market = p.market AND o.grade IS NOT DISTINCT FROM p.grade)",
-    "semi_catalog_filter": "WITH wanted AS (SELECT DISTINCT commodity FROM prices WHERE commodity LIKE '%E%') SELECT commodity, COUNT(*) AS n FROM prices WHERE commodity IN (SELECT commodity FROM wanted) GROUP BY 1",
     # aggregates
     "monthly_avg_prices": f"SELECT commodity, state, district, year, month, n, {r('avg_price')} AS avg_price FROM monthly WHERE n >= 3",
     "national_monthly_avg": f"SELECT commodity, year, month, n, {r('avg_price')} AS avg_price FROM national",
@@ -81,15 +72,11 @@ SQL = {
     "freshness_by_commodity": "WITH g AS (SELECT lower(commodity) AS commodity, state, district, MAX(arrival_date) AS newest, MIN(arrival_date) AS oldest, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3) SELECT commodity, MAX(newest) AS latest_date, MIN(oldest) AS earliest_date, SUM(n) AS row_count, COUNT(DISTINCT district) AS n_districts, COUNT(DISTINCT state) AS n_states FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
     "warehouse_counts": "WITH g AS (SELECT commodity, state, district, COUNT(*) AS n FROM prices GROUP BY 1, 2, 3), p AS (SELECT SUM(n) AS n_prices, COUNT(DISTINCT commodity) AS n_commodities, COUNT(DISTINCT state) AS n_states, COUNT(DISTINCT district) AS n_districts FROM g), r AS (SELECT COUNT(*) AS n_rain, SUM(CASE WHEN departure_pct BETWEEN -100 AND 200 THEN 1 ELSE 0 END) AS in_band, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS deficient FROM rainfall) SELECT * FROM p CROSS JOIN r",
     "avg_price_and_districts": f"SELECT commodity, {r('AVG(modal_price)')} AS avg_price, COUNT(DISTINCT district) AS n_districts FROM prices GROUP BY 1",
-    "distinct_options": "SELECT district, COUNT(*) AS n FROM prices WHERE district IS NOT NULL AND district <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "deficit_exposure": f"WITH y AS (SELECT year, COUNT(*) AS n, SUM(CASE WHEN departure_pct < -19 THEN 1 ELSE 0 END) AS low FROM rainfall GROUP BY 1) SELECT year, n, {r('low * 1e0 / n')} AS share, {r('SUM(low) OVER () * 1e0 / SUM(n) OVER ()')} AS overall_share, {r('AVG(low * 1e0 / n) OVER ()')} AS long_run_mean FROM y",
     "risk_ledger": f"WITH d AS (SELECT sub_division, AVG(departure_pct) AS dep FROM rainfall GROUP BY 1), p AS (SELECT commodity, state, district, AVG(modal_price) AS price FROM prices GROUP BY 1, 2, 3) SELECT p.commodity, p.state, p.district, {r('p.price')} AS price, CASE WHEN d.dep IS NULL THEN 'No Data' WHEN -d.dep >= 19 THEN 'High' WHEN -d.dep >= 10 THEN 'Medium' ELSE 'Low' END AS tier FROM p LEFT JOIN district_map m ON m.state = p.state AND m.district = p.district LEFT JOIN d ON d.sub_division = m.sub_division",
     "monsoon_baseline": f"WITH y AS (SELECT year, SUM(rainfall_mm) AS mm FROM rainfall WHERE month BETWEEN 6 AND 9 GROUP BY 1) SELECT {r('AVG(mm)')} AS mean_mm, {r('0.81 * AVG(mm)')} AS deficit_line, MIN_BY(year, mm) AS driest, MAX_BY(year, mm) AS wettest, MAX(year) AS last_year, {r('MAX_BY(mm, year)')} AS last_mm FROM y",
     "rain_climatology_daily": f"SELECT sub_division, year, month, {r('rainfall_mm')} AS mm, {r('normal_mm')} AS normal, {r('departure_pct')} AS departure FROM rainfall",
-    "retail_eda": f"SELECT category, segment, COUNT(*) AS n, {r('SUM(sales)')} AS sales, {r('SUM(profit)')} AS profit, {r('SUM(profit) / SUM(sales) * 100')} AS margin, {r('AVG(is_loss * 100e0)')} AS loss_pct FROM sales GROUP BY 1, 2",
     "worst_subcategories": f"SELECT sub_category, COUNT(DISTINCT order_id) AS n_orders, {r('AVG(is_loss * 1e0)')} AS loss_rate FROM sales GROUP BY 1 HAVING COUNT(DISTINCT order_id) >= 20 ORDER BY 3 DESC, 1 LIMIT 10",
-    "segment_profit_stats": f"SELECT category, sub_category, region, segment, COUNT(*) AS n, {r('AVG(CASE WHEN profit > 0 THEN profit END)')} AS gain, {r('AVG(CASE WHEN profit < 0 THEN profit END)')} AS loss FROM sales GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 5",
-    "request_log_summary": f"SELECT event_type, date_trunc('day', ts) AS day_ts, COUNT(*) AS n, {r('AVG(value)')} AS avg_value FROM events GROUP BY 1, 2",
     "daily_median_price": f"SELECT commodity, arrival_date, {r('MEDIAN(modal_price)')} AS price FROM prices WHERE modal_price > 0 GROUP BY 1, 2",
     "retail_drilldown": f"SELECT {r('SUM(sales)')} AS sales, {r('SUM(profit)')} AS profit, {r('AVG(profit_margin)')} AS margin, {r('AVG(is_loss * 100e0)')} AS loss_pct FROM sales WHERE region = 'ASIA' AND segment = 'BUILDING' AND year(order_date) = 1997",
     # windows
@@ -106,17 +93,13 @@ SQL = {
     "custom_order": "SELECT discount_tier, COUNT(*) AS n, CASE discount_tier WHEN 'No Discount' THEN 0 WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS place FROM sales GROUP BY 1, 3 ORDER BY 3 NULLS LAST",
     "last_n_rows": f"SELECT commodity, arrival_date, {r('price')} AS price FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY arrival_date DESC) AS back FROM daily) t WHERE back <= 90",
     "representative_district": "SELECT sub_division, state, district FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sub_division ORDER BY state, district) AS k FROM district_map) t WHERE k = 1",
-    "union_sources": "SELECT source, COUNT(*) AS n FROM (SELECT 'daily' AS source, commodity FROM daily UNION ALL SELECT 'monthly' AS source, commodity FROM monthly) t GROUP BY 1",
     "priority_merge": "WITH u AS (SELECT district, state, 2 AS prio FROM district_map UNION ALL SELECT district, concat('archive ', state) AS state, 1 AS prio FROM district_map WHERE district < 'J') SELECT district, state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY district ORDER BY prio DESC, state) AS k FROM u) t WHERE k = 1",
-    "catalog_difference": "SELECT DISTINCT p.district FROM prices p LEFT JOIN district_map d ON d.district = p.district WHERE d.district IS NULL",
     # risk, drift, freshness
     "var_cvar": f"WITH l AS (SELECT commodity, -(price / before - 1) AS loss FROM (SELECT *, LAG(price) OVER (PARTITION BY commodity ORDER BY arrival_date) AS before FROM daily) t WHERE before > 0), v AS (SELECT commodity, PERCENTILE_CONT(0.95) WITHIN GROUP (ORDER BY loss) AS var95 FROM l GROUP BY 1) SELECT l.commodity, COUNT(*) AS n, {r('MIN(v.var95)')} AS var95, {r('AVG(CASE WHEN l.loss >= v.var95 THEN l.loss END)')} AS cvar95 FROM l JOIN v ON v.commodity = l.commodity GROUP BY 1 HAVING COUNT(*) >= 30",
     "annualised_volatility": f"SELECT commodity, {r('STDDEV_POP(price / before - 1) * sqrt(252) * 100')} AS vol FROM (SELECT *, LAG(price) OVER (PARTITION BY commodity ORDER BY arrival_date) AS before FROM daily) t WHERE before > 0 GROUP BY 1",
     "monthly_rise_frequency": f"SELECT commodity, COUNT(*) AS months, {r('AVG(CASE WHEN avg_price / before - 1 > 0.1 THEN 1e0 ELSE 0e0 END)')} AS share FROM (SELECT *, LAG(avg_price) OVER (PARTITION BY commodity ORDER BY year, month) AS before FROM national) t WHERE before > 0 GROUP BY 1 HAVING COUNT(*) >= 12",
-    "stale_commodities": f"SELECT commodity, MAX(arrival_date) AS latest, MAX(arrival_date) < DATE '2001-10-01' AS is_stale FROM prices GROUP BY 1",
     "upstream_lag_signature": "WITH f AS (SELECT commodity, MAX(arrival_date) AS latest FROM prices GROUP BY 1) SELECT COUNT(*) AS n, COUNT(DISTINCT latest) AS n_dates, CASE WHEN COUNT(DISTINCT latest) = 1 THEN 'upstream lag' ELSE 'ingest behind' END AS verdict FROM f",
     "health_status": f"SELECT CASE WHEN COUNT(*) = 0 THEN 'empty' WHEN SUM(CASE WHEN arrival_date > {TODAY} THEN 1 ELSE 0 END) > 0 THEN 'degraded' WHEN MAX(arrival_date) IS NULL THEN 'unknown' WHEN MAX(arrival_date) < {TODAY} - INTERVAL '3' DAY THEN 'stale' ELSE 'healthy' END AS status FROM prices",
-    "freshness_kpis": f"WITH f AS (SELECT commodity, MAX(arrival_date) AS latest, COUNT(*) AS n FROM prices GROUP BY 1) SELECT COUNT(*) AS commodities, SUM(n) AS row_count, SUM(CASE WHEN latest >= DATE '2001-10-28' THEN 1 ELSE 0 END) AS recent FROM f",
 }
 
 
