@@ -28,13 +28,12 @@ def _text(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(raw), r"\s+", " "), r"^(\d+)\.0$", "$1")
 
 
-def parse_date(raw: Column) -> Column:
-    """The date of a text whose shape is known; null where none fits.  What follows ten characters of an ISO date is dropped.
+def _iso_head(text: Column) -> Column:
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\D"), F.substring(text, 1, 10)).otherwise(text)
 
-    Two digits of a year from 69 on are of the century before.
-    """
-    text = _text(raw)
-    text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\D"), F.substring(text, 1, 10)).otherwise(text)
+
+def _by_shape(text: Column) -> Column:
+    """The date of a text by the shape that it has; null where it has none."""
     out = F.lit(None).cast("date")
     for shape, form in reversed(SHAPES):
         day = F.try_to_timestamp(text, F.lit(form)).cast("date")
@@ -44,6 +43,14 @@ def parse_date(raw: Column) -> Column:
     return out
 
 
+def parse_date(raw: Column) -> Column:
+    """The date of a text whose shape is known; null where none fits.  What follows ten characters of an ISO date is dropped.
+
+    Two digits of a year from 69 on are of the century before.
+    """
+    return _by_shape(_iso_head(_text(raw)))
+
+
 def parse_epoch(number: Column) -> Column:
     """The UTC date of seconds or milliseconds since 1970; null where the number can't be either."""
     x = number.cast("double")
@@ -64,9 +71,13 @@ def parsed(df: DataFrame, column: str) -> Column:
 
 def classified(df: DataFrame, column: str, today: Column, floor: str = "1990-01-01", ahead: int = 1) -> DataFrame:
     """df with ``day`` and ``status`` of a raw date column; the day is null unless the status is ok, so a declined date can't be stored."""
-    day, raw = parsed(df, column), F.col(column)
-    status = _status(raw.cast("string"), day, today, floor, ahead)
-    return df.withColumn("status", status).withColumn("day", F.when(F.col("status") == "ok", day))
+    # a column a step: each is read several times by the next, so its expression isn't written out again
+    if df.schema[column].dataType.typeName() == "string":
+        steps = df.withColumn("_text", _text(F.col(column))).withColumn("_text", _iso_head(F.col("_text"))).withColumn("day", _by_shape(F.col("_text"))).drop("_text")
+    else:
+        steps = df.withColumn("day", parsed(df, column))
+    status = _status(F.col(column).cast("string"), F.col("day"), today, floor, ahead)
+    return steps.withColumn("status", status).withColumn("day", F.when(F.col("status") == "ok", F.col("day")))
 
 
 def _status(raw: Column, day: Column, today: Column, floor: str, ahead: int) -> Column:
