@@ -35,7 +35,7 @@ SQL = {
     "compare_models": f"WITH {SCORES}, best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY {r('mape', 6)}, model) AS place, LEAD({r('mape', 6)}) OVER (PARTITION BY commodity ORDER BY {r('mape', 6)}, model) AS runner_up FROM scores) SELECT commodity, model AS winner, {r('mape')} AS mape, {r('runner_up - mape')} AS lead_pct, CASE WHEN runner_up IS NULL THEN 'only model' WHEN runner_up - mape < 0.0001 THEN 'tie' ELSE 'best' END AS reason FROM best WHERE place = 1",
     "volatility_envelope": f"WITH med AS (SELECT commodity, arrival_date, MEDIAN(modal_price) AS price, STDDEV_POP(modal_price) AS across FROM prices WHERE modal_price > 0 GROUP BY 1, 2), d AS (SELECT *, price - LAG(price) OVER (PARTITION BY commodity ORDER BY arrival_date) AS step, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY arrival_date DESC) AS back FROM med), s AS (SELECT commodity, MAX(CASE WHEN back = 1 THEN price END) AS latest, AVG(step) AS drift, GREATEST(STDDEV_SAMP(step), 0.15e0 * COALESCE(MAX(CASE WHEN back = 1 THEN across END), 0), 1e0) AS sd FROM d GROUP BY 1), k AS ({' UNION ALL '.join(f'SELECT {k} AS ahead' for k in range(1, 15))}) SELECT commodity, ahead, {r('latest + drift * ahead')} AS centre, {r('GREATEST(1e0, latest + drift * ahead - 1.96e0 * sd * SQRT(ahead * 1e0))')} AS low, {r('latest + drift * ahead + 1.96e0 * sd * SQRT(ahead * 1e0)')} AS high FROM s CROSS JOIN k",
     "split_conformal": f"WITH {CONFORMAL} SELECT h.commodity, h.m AS n_calibration, {r('MIN(h.half_width)')} AS half_width, {r('AVG(CASE WHEN r.back > h.m THEN NULL WHEN r.e <= h.half_width THEN 1e0 ELSE 0e0 END)')} AS coverage, {r('MAX(CASE WHEN r.back = 1 THEN r.price - h.half_width END)')} AS low, {r('MAX(CASE WHEN r.back = 1 THEN r.price + h.half_width END)')} AS high FROM half h JOIN res r ON r.commodity = h.commodity GROUP BY 1, 2",
-    "spike_features": f"WITH cutp AS (SELECT commodity, percentile_cont(0.75) WITHIN GROUP (ORDER BY avg_price) AS p75 FROM panel WHERE n >= 3 GROUP BY 1), f AS (SELECT *, LAG(departure_pct, 1) OVER w AS lag1, LAG(departure_pct, 2) OVER w AS lag2, LAG(departure_pct, 3) OVER w AS lag3, AVG(departure_pct) OVER (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll FROM panel WHERE n >= 3 WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month)) SELECT f.commodity, f.state, f.district, f.year, f.month, {r('lag1')} AS lag1, {r('lag2')} AS lag2, {r('lag3')} AS lag3, {r('roll')} AS roll, {r('sin(2 * pi() * f.month / 12)')} AS month_sin, {r('cos(2 * pi() * f.month / 12)')} AS month_cos, CASE WHEN f.avg_price >= c.p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp c ON c.commodity = f.commodity",
+    "spike_features": f"WITH cutp AS (SELECT commodity, percentile_cont(0.75) WITHIN GROUP (ORDER BY avg_price) AS p75 FROM panel WHERE n >= 3 GROUP BY 1), f AS (SELECT *, LAG(departure_pct, 1) OVER w AS lag1, LAG(departure_pct, 2) OVER w AS lag2, LAG(departure_pct, 3) OVER w AS lag3, AVG(departure_pct) OVER v AS roll, AVG(avg_price) OVER v AS roll_price, STDDEV_SAMP(avg_price) OVER v / NULLIF(AVG(avg_price) OVER v, 0) AS volatility FROM panel WHERE n >= 3 WINDOW w AS (PARTITION BY commodity, state, district ORDER BY year, month), v AS (PARTITION BY commodity, state, district ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT f.commodity, f.state, f.district, f.year, f.month, {r('lag1')} AS lag1, {r('lag2')} AS lag2, {r('lag3')} AS lag3, {r('roll')} AS roll, {r('roll_price')} AS roll_price, {r('volatility')} AS volatility, {r('sin(2 * pi() * f.month / 12)')} AS month_sin, {r('cos(2 * pi() * f.month / 12)')} AS month_cos, CASE WHEN f.avg_price >= c.p75 THEN 1 ELSE 0 END AS spike FROM f JOIN cutp c ON c.commodity = f.commodity",
     "gpd_tail_fit": f"WITH {PWM} SELECT commodity, n, k AS n_beyond, {r('u')} AS threshold, {r('xi')} AS shape, {r('sigma')} AS scale FROM gpd",
     "evt_var_es": f"WITH {PWM}, q AS (SELECT *, u + sigma / xi * (power(0.01e0 / (k * 1e0 / n), -xi) - 1) AS var99 FROM gpd WHERE ABS(xi) > 1e-6 AND xi < 1) SELECT commodity, {r('var99')} AS var99, {r('(var99 + sigma - xi * u) / (1 - xi)')} AS es99 FROM q",
     "tail_risk_report": f"WITH {PWM}, q AS (SELECT commodity, xi, u + sigma / xi * (power(0.01e0 / (k * 1e0 / n), -xi) - 1) AS evt99, sigma, u FROM gpd WHERE ABS(xi) > 1e-6 AND xi < 1), v AS (SELECT commodity, COUNT(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY loss) AS v95, percentile_cont(0.99) WITHIN GROUP (ORDER BY loss) AS v99, STDDEV_POP(loss) AS sd FROM ret GROUP BY 1), c AS (SELECT v.commodity, AVG(CASE WHEN r.loss >= v.v95 - 1e-12 THEN r.loss END) AS c95, AVG(CASE WHEN r.loss >= v.v99 - 1e-12 THEN r.loss END) AS c99 FROM v JOIN ret r ON r.commodity = v.commodity GROUP BY 1), pk AS (SELECT commodity, price, MAX(price) OVER (PARTITION BY commodity ORDER BY arrival_date ROWS UNBOUNDED PRECEDING) AS peak FROM ({BACK}) t WHERE back <= 730 AND price > 0), dd AS (SELECT commodity, MIN(price / peak - 1) * 100 AS drawdown FROM pk GROUP BY 1), mm AS (SELECT commodity, avg_price, LAG(avg_price) OVER (PARTITION BY commodity ORDER BY year, month) AS before FROM national), ri AS (SELECT commodity, AVG(CASE WHEN avg_price / before - 1 > 0.1 THEN 1e0 ELSE 0e0 END) AS rises FROM mm WHERE before > 0 GROUP BY 1 HAVING COUNT(*) >= 12) SELECT v.commodity, v.n, {r('v.v95')} AS var95, {r('v.v99')} AS var99, {r('v.sd * sqrt(252e0) * 100')} AS volatility_pct, {r('c.c95')} AS cvar95, {r('c.c99')} AS cvar99, {r('q.evt99')} AS evt_var99, {r('(q.evt99 + q.sigma - q.xi * q.u) / (1 - q.xi)')} AS evt_es99, {r('dd.drawdown')} AS max_drawdown_pct, {r('ri.rises')} AS rise_share FROM v JOIN c ON c.commodity = v.commodity LEFT JOIN q ON q.commodity = v.commodity LEFT JOIN dd ON dd.commodity = v.commodity LEFT JOIN ri ON ri.commodity = v.commodity WHERE v.n >= 30",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide import catalog, cleaning, orders, registry, views
+from graintide import catalog, cleaning, discoveries, orders, registry, views
 from graintide.functions import text
+from graintide.plans.estimators import tables
 from graintide.plans.ingestion import DUCK_STATUS, SPARK_RAW, TODAY
 from graintide.plans.relational import r
 
@@ -239,3 +240,25 @@ def request_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in all, by endpoint, hour and latency, and the last twenty; events stand in for the log."""
     log = _run(spark, sf_dir, "SELECT event_id AS request_id, ts AS at, event_type AS endpoint, value AS latency FROM events")
     return _rounded(orders.request_report(log), "latency")
+
+
+#: Estimates of two computations, the later with the wider band; two commodities' fits have collapsed.
+_STORED = f"WITH {tables([10, 20], ['triangular'])} SELECT commodity, CASE WHEN commodity IN ('PROMO', 'SMALL') THEN 1e-9 ELSE effect END AS effect, p AS p_value, n_left, n_right, bw AS computed_at, bw AS id FROM fit"
+_BODY = _STORED[_STORED.index("SELECT commodity, CASE") :]
+_DUCK_FDR = f"WITH {tables([10, 20], ['triangular'])}, stored AS ({_BODY}), last AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY commodity ORDER BY computed_at DESC, id DESC) AS k FROM stored WHERE p_value IS NOT NULL) t WHERE k = 1), fam AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p_value, commodity) AS place, COUNT(*) OVER () AS m FROM last WHERE ABS(effect) >= 1e-6), q AS (SELECT f.commodity, LEAST(1e0, (SELECT MIN(g.p_value * g.m / g.place) FROM fam g WHERE g.place >= f.place)) AS q_value FROM fam f)"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discoveries.entries(views.run(spark, sf_dir, _STORED, ("panel",)))
+
+
+@registry.register("fdr_entries", views.cte(f"{_DUCK_FDR} SELECT l.commodity, {r('l.effect')} AS effect, {r('l.p_value')} AS p_value, {r('q.q_value')} AS q_value, q.commodity IS NULL AS degenerate, l.n_left, l.n_right FROM last l LEFT JOIN q ON q.commodity = l.commodity"))
+def fdr_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest estimate of each commodity with its q-value; collapsed fits are marked and left out of the family."""
+    return _rounded(_entries(spark, sf_dir).drop("significant_raw", "significant_fdr"), "effect", "p_value", "q_value")
+
+
+@registry.register("fdr_summary", views.cte(f"{_DUCK_FDR} SELECT (SELECT COUNT(*) FROM q) AS n_hypotheses, (SELECT COUNT(*) FROM fam WHERE p_value < 0.05) AS n_significant_raw, (SELECT COUNT(*) FROM q WHERE q_value < 0.05) AS n_significant_fdr, (SELECT COUNT(*) FROM last WHERE ABS(effect) < 1e-6) AS n_degenerate, {r('(SELECT COUNT(*) FROM q) * 0.05e0')} AS expected_false, (SELECT COALESCE(string_agg(commodity, ', ' ORDER BY commodity), '') FROM last WHERE ABS(effect) < 1e-6) AS degenerate, (SELECT COALESCE(string_agg(commodity, ', ' ORDER BY commodity), '') FROM q WHERE q_value < 0.05) AS survivors"))
+def fdr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of hypotheses, discoveries and collapsed fits, and their names."""
+    return _rounded(discoveries.summary(_entries(spark, sf_dir)), "expected_false")

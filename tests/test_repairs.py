@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from graintide import catalog, cleaning, orders
+from graintide import catalog, cleaning, discoveries, orders
 
 D = datetime.date
 
@@ -148,3 +148,19 @@ def test_request_report(spark):
     assert got[("total", None)] == (4, 13.0) and got[("endpoint", "a")] == (2, 12.0) and got[("endpoint", None)] == (1, None)
     assert got[("hour", "2026-01-01 02:00")] == (2, 19.0) and got[("latency", "10")] == (2, 17.0)
     assert {k: v for k, v in got.items() if k[0] == "newest"} == {("newest", "4"): (1, None), ("newest", "3"): (2, 19.0)}
+
+
+def test_discoveries(spark):
+    stored = [("a", 5.0, 0.9, 1, 0), ("a", 5.0, 0.001, 2, 1), ("b", -2.0, 0.02, 1, 2), ("b", -2.0, 0.03, 1, 3), ("c", 1.0, 0.04, 1, 4), ("d", 1.0, 0.5, 1, 5), ("flat", 1e-12, 0.0, 1, 6), ("nan", math.nan, 0.01, 1, 7), ("inf", math.inf, 0.01, 1, 8), ("null", None, 0.01, 1, 9), ("nop", 3.0, None, 1, 10)]
+    df = spark.createDataFrame([(k, e, p, 10, 20, t, i) for k, e, p, t, i in stored], "commodity string, effect double, p_value double, n_left int, n_right int, computed_at int, id int")
+    found = discoveries.entries(df)
+    got = {r.commodity: r for r in found.collect()}
+    assert set(got) == {"a", "b", "c", "d", "flat", "nan", "inf", "null"}
+    for k, q in {"a": 0.004, "b": 4 / 75, "c": 4 / 75, "d": 0.5}.items():
+        assert abs(got[k].q_value - q) < 1e-12 and got[k].significant_fdr == (q < 0.05)
+    assert got["c"].significant_raw and not got["d"].significant_raw
+    assert all(got[k].degenerate and got[k].q_value is None for k in ("flat", "nan", "inf", "null"))
+    (s,) = discoveries.summary(found).collect()
+    assert tuple(s) == (4, 3, 1, 4, 0.2, "flat, inf, nan, null", "a")
+    (none,) = discoveries.summary(discoveries.entries(df.limit(0))).collect()
+    assert tuple(none) == (0, 0, 0, 0, 0.0, "", "")
