@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graintide.plans.relational import _register, r, whole
+from graintide.plans.relational import _register, pearson, r, whole
 
 #: One row a numeric column of the retail orders.
 FEATURES = ("sales", "profit", "quantity", "discount")
@@ -16,4 +16,4 @@ SQL = {
 }
 
 for _key, _sql in SQL.items():
-    _register(_key, whole(_sql))
+    _register(_key, whole(pearson(_sql, "CORR", "f.freq", "p.price", 6)), whole(_sql))

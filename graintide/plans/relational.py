@@ -15,6 +15,13 @@ def r(x: str, places: int = 4) -> str:
     return f"floor(CAST({x} AS DOUBLE) * {k} + 0.50001) / {k}"
 
 
+def pearson(sql: str, corr: str, x: str, y: str, places: int = 4) -> str:
+    """The text for Spark, whose CORR divides by zero where a column is constant: there NaN, as in the oracle, else by sums over the same pairs."""
+    sxx, syy = f"regr_sxx({x}, {y})", f"regr_syy({x}, {y})"
+    own = r(f"regr_sxy({x}, {y}) / (sqrt({sxx}) * sqrt({syy}))", places)
+    return sql.replace(r(f"{corr}({x}, {y})", places), f"CASE WHEN {sxx} = 0 OR {syy} = 0 THEN CAST('NaN' AS DOUBLE) ELSE {own} END")
+
+
 def whole(sql: str) -> str:
     """Cast the sums of ones and counts to BIGINT, which engines type differently."""
     out, at = [], 0
@@ -110,4 +117,4 @@ def _register(key: str, sql: str, oracle: str | None = None, kept: tuple[str, ..
 
 
 for _key, _sql in SQL.items():
-    _register(_key, whole(_sql))
+    _register(_key, whole(pearson(_sql, "corr", "p.price", "f.freq")), whole(_sql))
