@@ -92,9 +92,10 @@ def date_summary(df: DataFrame, column: str, today: Column) -> DataFrame:
     return kinds.agg(total("n", F.lit(True)), *each, total("rejected", F.col("status") != "ok"), total("ambiguous", F.col("_either")))
 
 
-def rainfall_rows(rainfall: DataFrame, sub_division: str, limit: int, band: tuple[float, float] = (-100, 200)) -> DataFrame:
-    """The first months of a sub-division in any case, without departures beyond the band; no number is null."""
+def rainfall_rows(rainfall: DataFrame, sub_division: str, limit: int | None = None, band: tuple[float, float] = (-100, 200)) -> DataFrame:
+    """The months of a sub-division in any case, the first ``limit`` if given, without departures beyond the band; no number is null."""
     here = rainfall.filter(F.lower("sub_division") == sub_division.lower()).filter(F.col("departure_pct").between(*band))
     kinds = dict(rainfall.dtypes)
     cells = [F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rainfall.columns]
-    return here.orderBy("year", "month").limit(limit).select(*cells)
+    here = here.orderBy("year", "month")
+    return (here if limit is None else here.limit(limit)).select(*cells)

@@ -86,11 +86,11 @@ def district_to_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.to_subdivision(rows, places, unmapped=True)
 
 
-@registry.register("scan_rainfall", views.cte(f"SELECT sub_division, year, month, {r('departure_pct')} AS departure_pct FROM rainfall WHERE departure_pct BETWEEN -100 AND 200 AND lower(sub_division) = 'subdiv_3' ORDER BY year, month LIMIT 60"))
+@registry.register("scan_rainfall", views.cte(f"SELECT sub_division, year, month, {r('departure_pct')} AS departure_pct FROM rainfall WHERE departure_pct BETWEEN -100 AND 200 AND lower(sub_division) = 'subdiv_3' ORDER BY year, month"))
 def scan_rainfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sixty months of one sub-division."""
+    """Every month of one sub-division, in order."""
     rows = _run(spark, sf_dir, "SELECT sub_division, year, month, departure_pct FROM rainfall")
-    return _rounded(cleaning.rainfall_rows(rows, "subdiv_3", 60), "departure_pct")
+    return _rounded(cleaning.rainfall_rows(rows, "subdiv_3"), "departure_pct")
 
 
 @registry.register("insert_or_ignore", views.cte(f"WITH new AS (SELECT sub_division, year, month, rainfall_mm, 0 AS writer FROM rainfall WHERE year >= 1996 UNION ALL SELECT sub_division, year, month, rainfall_mm * 2 AS rainfall_mm, 1 AS writer FROM rainfall WHERE month < 7) SELECT sub_division, year, month, {r('rainfall_mm')} AS rainfall_mm, writer FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sub_division, year, month ORDER BY writer) AS k FROM new) t WHERE k = 1 AND NOT (year < 1997 AND sub_division <> 'SUBDIV_1')"))

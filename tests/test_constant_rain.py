@@ -33,3 +33,12 @@ def test_oracles_keep_their_text():
     known = registry.oracle_sql()
     assert known["left_deficit_freq"] == views.cte(relational.whole(relational.SQL["left_deficit_freq"]))
     assert known["deficit_price_correlation"] == views.cte(monitoring.whole(monitoring.SQL["deficit_price_correlation"]))
+
+
+def test_scan_rainfall_has_every_month(spark):
+    sf = "/root/testdata/sf0.01"
+    every = views.run(spark, sf, "SELECT 1 FROM rainfall WHERE departure_pct BETWEEN -100 AND 200 AND sub_division = 'SUBDIV_3'").count()
+    from graintide import registry
+
+    assert registry.queries()["scan_rainfall"](spark, sf).count() == every > 60
+    assert "LIMIT" not in registry.oracle_sql()["scan_rainfall"]
