@@ -135,13 +135,12 @@ def ingest_folder(spark: SparkSession, drop: str, table: str, state: str, archiv
 def price_json(spark: SparkSession, path: str, today: Column | None = None) -> DataFrame:
     """API records in any of the known spellings; dates that the date rules don't call ok are null, other fields go."""
     names = {c: c for c in CANONICAL} | {"_".join(p.capitalize() for p in c.split("_")): c for c in CANONICAL} | RECORD_ALIASES
-    # Spark matches JSON fields by exact name, so every spelling is a column of its own
-    spark_schema = ", ".join(f"`k{i}` string" for i in range(len(names)))
+    # every spelling is a column of its own, since field names differ by case; a record is parsed once for all of them
     keys = list(names)
-    parsed = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("r")).select(*[F.element_at("r", k).alias(f"k{i}") for i, k in enumerate(keys)])
-    parsed = parsed.to(spark.createDataFrame([], spark_schema).schema)
+    parsed = spark.read.text(path).select(F.json_tuple("value", *keys).alias(*[f"k{i}" for i in range(len(keys))]))
     cell = lambda c: F.coalesce(*[F.col(f"k{i}") for i, k in enumerate(keys) if names[k] == c])
-    day = F.when(dates.date_status(cell("arrival_date"), today if today is not None else F.current_date()) == "ok", dates.parse_date(cell("arrival_date")))
+    parsed = parsed.select("*", F.explode(F.array(dates.parse_date(cell("arrival_date")))).alias("day"))  # one element: the date is parsed once, however often it is read
+    day = F.when(dates.ok(F.col("day"), today if today is not None else F.current_date()), F.col("day"))
     return parsed.select(*[F.nullif(cell(c), F.lit("")).alias(c) for c in TEXTS], day.alias("arrival_date"), *[clean_number(cell(c)).alias(c) for c in PRICES])
 
 
