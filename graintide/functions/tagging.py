@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graintide.shared import keep
+
 #: An intent and the texts any of which shows it.
 INTENTS = {
     "risk": ("risk", "spike", "probability", "chance", "how likely"),
@@ -42,9 +44,23 @@ def tagged(texts: DataFrame, key: str, aliases: DataFrame, longest: int, default
     return texts.select(key).join(first, key, "left").select(key, F.coalesce("_best._name", F.lit(default)).alias("tag"))
 
 
-def grams(text: Column) -> Column:
-    """(run, size, at) of the runs of two words of letters, then of single ones, in text order."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+def distinct(texts: DataFrame, a_task: int = 20_000) -> DataFrame:
+    """(n, text): each distinct text once under a number, dealt evenly over tasks, however few files the texts came from; kept.
+
+    What is said of a text is a function of it, so it is found once a text and joined to the rows by text.
+    """
+    own = keep(texts.select("text").distinct(), "distinct")
+    parts = max(2 * texts.sparkSession.sparkContext.defaultParallelism, own.count() // a_task)
+    return keep(own.repartition(parts).withColumn("n", F.monotonically_increasing_id()), "texts")
+
+
+def letters(text: Column) -> Column:
+    """Words of letters in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+
+
+def grams(words: Column) -> Column:
+    """(run, size, at) of the runs of two words, then of single ones, in text order; ``words`` is read at every run, so it should be a column that is there."""
     run = lambda size: F.transform(F.slice(words, 1, F.greatest(F.size(words) - size + 1, F.lit(0))), lambda _, i: F.struct(F.array_join(F.slice(words, i + 1, size), " ").alias("run"), F.lit(size).alias("size"), i.alias("at")))
     return F.concat(run(2), run(1))
 
@@ -81,7 +97,8 @@ def close_runs(runs: DataFrame, names: DataFrame, least: float = 0.85) -> DataFr
 
 def fuzzy(texts: DataFrame, key: str, names: DataFrame, least: float = 0.85) -> DataFrame:
     """key and tag: the name closest to the first run of the text (pairs of words before single ones) that is close to one; texts without one have no row."""
-    parts = texts.select(key, F.explode(grams(F.col("text"))).alias("g")).select(key, "g.*")
+    words = texts.select(key, letters(F.col("text")).alias("_words"))
+    parts = words.select(key, F.explode(grams(F.col("_words"))).alias("g")).select(key, "g.*")
     near = parts.join(close_runs(parts, names, least), "run")
     return near.groupBy(key).agg(F.min(F.struct((-F.col("size")).alias("less"), "at", "name")).alias("best")).select(key, F.col("best.name").alias("tag"))
 

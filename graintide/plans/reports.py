@@ -11,7 +11,7 @@ from graintide import maintenance, registry, views
 from graintide.functions import tagging
 from graintide.plans import forecasting, monitoring  # noqa: F401  (they register the report's sections)
 from graintide.plans.relational import r
-from graintide.shared import folder
+from graintide.shared import folder, keep
 
 # ---- tags ------------------------------------------------------------------------------------
 
@@ -49,16 +49,18 @@ TYPED = "SELECT CONCAT('typed ', CAST(p_partkey AS VARCHAR(20))) AS id, CONCAT('
 @registry.register("fuzzy_commodity_tags")
 def fuzzy_commodity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commodity of texts with misspelt names, and their district: an exact name before a close one, neither gives the default."""
-    said = views.run(spark, sf_dir, f"{TYPED} UNION ALL {SAID}")
-    aliases = spark.sql(ALIASES)
+    said = keep(views.run(spark, sf_dir, f"{TYPED} UNION ALL {SAID}"), "said")
+    texts = tagging.distinct(said)
+    aliases = keep(spark.sql(ALIASES), "aliases")
     longest = aliases.agg(F.max(F.size(tagging.tokens(F.col("alias"))))).first()[0] or 1
-    exact = tagging.tagged(said, "id", aliases, longest).filter("tag IS NOT NULL")
-    close = tagging.fuzzy(said.join(exact.select("id"), "id", "left_anti"), "id", spark.sql("SELECT DISTINCT p_type AS name FROM part"))
+    exact = keep(tagging.tagged(texts, "n", aliases, longest).filter("tag IS NOT NULL"), "exact")
+    close = tagging.fuzzy(texts.join(exact.select("n"), "n", "left_anti"), "n", spark.sql("SELECT DISTINCT p_type AS name FROM part"))
     places = spark.sql("SELECT n_name AS name, n_nationkey AS place FROM nation")
     most = places.agg(F.max(F.size(tagging.tokens(F.col("name"))))).first()[0] or 1
     tags = exact.withColumn("how", F.lit("exact")).unionByName(close.withColumn("how", F.lit("close")))
-    district = tagging.listed(said, "id", places, most).withColumnRenamed("name", "district")
-    return said.select("id").join(tags, "id", "left").join(district, "id", "left").select("id", F.coalesce("tag", F.lit(DEFAULT_TAG)).alias("tag"), F.coalesce("how", F.lit("default")).alias("how"), "district")
+    district = tagging.listed(texts, "n", places, most).withColumnRenamed("name", "district")
+    found = keep(texts.join(tags, "n", "left").join(district, "n", "left").select(F.col("text").alias("_text"), F.coalesce("tag", F.lit(DEFAULT_TAG)).alias("tag"), F.coalesce("how", F.lit("default")).alias("how"), "district"), "found")
+    return said.join(found, F.col("text").eqNullSafe(F.col("_text"))).select("id", "tag", "how", "district")
 
 
 # ---- rain ------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from graintide.functions import tagging
 from graintide.plans import tails
@@ -95,3 +96,22 @@ def test_queries(spark):
     assert rows["id"].is_unique and (typed["how"] == "close").mean() > 0.8 and typed["district"].notna().all()
     fits, risks = found["gpd_maximum_likelihood"](spark, SF).toPandas(), found["evt_var_es_likelihood"](spark, SF).toPandas()
     assert (fits["scale"] > 0).all() and (risks["es99"] >= risks["var99"]).all()
+
+
+def test_each_text_is_tagged_once(spark, monkeypatch):
+    from graintide import registry, views
+    from graintide.plans import reports
+
+    given = {}
+    for step in ("tagged", "fuzzy", "listed"):
+        own = getattr(tagging, step)
+        monkeypatch.setattr(tagging, step, lambda texts, *more, step=step, own=own: own(given.setdefault(step, texts), *more))
+    rows = registry.queries()["fuzzy_commodity_tags"](spark, SF).toPandas()
+    said = views.run(spark, SF, f"{reports.TYPED} UNION ALL {reports.SAID}").toPandas()
+    assert sorted(rows["id"]) == sorted(said["id"])
+    # as many rows as distinct texts go into each step, dealt over tasks although the tables are single files
+    n = said["text"].nunique(dropna=False)
+    assert given["tagged"].count() == given["listed"].count() == n < len(said) and given["fuzzy"].count() < n
+    assert given["tagged"].groupBy(F.spark_partition_id()).count().count() >= 4
+    assert rows.merge(said, on="id").groupby("text")[["tag", "how", "district"]].nunique(dropna=False).max().max() == 1
+    assert tagging.distinct(spark.createDataFrame([(1, None), (2, None), (3, "")], "id int, text string")).count() == 2
