@@ -20,8 +20,8 @@ for each of them:
   groups of copies become one class for a row a text and value;
 * where a value still holds several classes, its rows go to one task (to one of
   several, by pairs of blocks, if they are many), which compares the word counts of
-  all pairs of different classes.  Only pairs that these don't rule out, at the first
-  sketch they share, leave the task for alignment.
+  all pairs of different classes.  Only pairs that these don't rule out leave the task,
+  once, for alignment.
 
 Equal texts are one node from the start and are never paired.  The edit
 similarity of texts with n and m words at word distance d is 1 - d / max(n, m).
@@ -59,6 +59,8 @@ BAG, WIDE, FINE = 128, 1024, 160
 #: Rows of a value that one block holds; larger values are compared by pairs of blocks.
 BLOCK = 2_000
 _MEMO = 200_000
+#: Pairs of a task among which repeated ones are dropped.
+PAIRS = 50_000
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
 #: Turns in which texts meet centres of other classes; what they leave apart is compared by values.
@@ -305,7 +307,7 @@ def _near_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Rows of whole values (value, turn_a, turn_b, block, rid, root, n, bag, wide, sketch), sorted by the first three."""
+    """Rows of whole values (value, turn_a, turn_b, block, rid, root, n, bag, wide), sorted by the first three."""
 
     def __init__(self, rows: pa.Table) -> None:
         number = lambda c: rows.column(c).to_numpy()
@@ -313,18 +315,13 @@ class _Rows:
         self.block, self.rid, self.root, self.n = (number(c) for c in ("block", "rid", "root", "n"))
         whole = lambda c: rows.column(c).combine_chunks()
         self.bag, self.wide = _bytes(whole("bag"), BAG), _bytes(whole("wide"), WIDE)
-        sketch = rows.column("sketch").to_pylist()
-        self.sketch = np.array([x + [0] * (SHORT_SKETCHES - len(x)) for x in sketch], np.int64).reshape(len(sketch), -1)
-        # the place of the value among its row's sketches; SHORT_SKETCHES for the values of ``near``
-        hit = self.sketch == self.value[:, None]
-        self.place = np.where(hit.any(1), hit.argmax(1), SHORT_SKETCHES)
 
     def ends(self) -> np.ndarray:
         a, b = self.turns
         return np.flatnonzero(np.append((self.value[1:] != self.value[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)) + 1
 
     def left(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs of rows i, j those in different classes that the word counts allow, where they first meet."""
+        """Of the pairs of rows i, j those in different classes that the word counts allow."""
 
         def only(good: np.ndarray) -> None:
             nonlocal i, j
@@ -336,8 +333,6 @@ class _Rows:
         only(abs(self.n[i] - self.n[j]) <= band())
         only(_short_by(self.bag[i], self.bag[j]) <= band())
         only((self.n[i] < FINE) | (self.n[j] < FINE) | (_short_by(self.wide[i], self.wide[j]) <= band()))
-        same = (self.sketch[i] == self.sketch[j]) & (self.sketch[i] != 0)
-        only(np.where(same.any(1), same.argmax(1), SHORT_SKETCHES) == self.place[i])
         return self.rid[i], self.rid[j]
 
 
@@ -360,8 +355,18 @@ def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> I
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of different classes that share a value and may link, of rows sorted by value."""
+    """Pairs (u, v) of different classes that share a value and may link, of rows sorted by value.
+
+    A pair leaves as often as it meets, but once for about PAIRS of them; who calls takes the distinct ones.
+    """
     held: list[pa.RecordBatch] = []
+    found: list[np.ndarray] = []
+
+    def sent() -> pa.RecordBatch:
+        u, v = np.unique(np.concatenate(found), axis=0).T
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["u", "v"])
+
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             held.append(batch)
@@ -379,7 +384,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _pairs_within(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else ():
             u, v = rows.left(i, j)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+                if sum(map(len, found)) >= PAIRS:
+                    yield sent()
+    if found:
+        yield sent()
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +417,9 @@ def _ends(pairs: DataFrame, side: DataFrame, value: str, *more: str) -> DataFram
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts align."""
-    return keep(_ends(pairs, texts, "text").mapInArrow(_aligned, "u long, v long"), "links")
+    """The pairs (u, v), kept ones, whose texts align.  Only texts of a pair are shuffled."""
+    own = _marked(texts, pairs.select(F.explode(F.array("u", "v")).alias("rid"))).filter("marked")
+    return keep(_ends(pairs, own, "text").mapInArrow(_aligned, "u long, v long"), "links")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -426,7 +436,7 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     live = keep(live.filter("least < most").select("value", "rid", "root", "size"), "live")
     if live.isEmpty():
         return roots
-    found = _marked(sketches, live.select("rid").distinct()).filter("marked").select("rid", "n", "bag", "wide", "sketch")
+    found = _marked(sketches, live.select("rid").distinct()).filter("marked").select("rid", "n", "bag", "wide")
     # rows of a value's largest class never meet each other: they are dealt once for each block of the others
     top = live.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"))
     large, others, own = F.col("root") == F.col("top.root"), F.ceil((F.col("size") - F.col("top.n")) / block).cast("int"), F.ceil(F.col("top.n") / block).cast("int")
@@ -436,7 +446,7 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     meets = F.col("others") + F.when(F.col("large"), 0).otherwise(F.col("own"))
     dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
     rows = dealt.join(found, "rid").repartition("value", "turn_a", "turn_b").sortWithinPartitions("value", "turn_a", "turn_b")
-    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "sketch").mapInArrow(_met, "u long, v long")
+    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide").mapInArrow(_met, "u long, v long")
     links = _links(keep(pairs.distinct(), "pairs"), texts)
     return roots if links.isEmpty() else contracted(roots, links)
 

@@ -2,6 +2,9 @@ import itertools
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
+from graintide.llm import order_minhash
 from graintide.llm.order_minhash import _marked, banded_distance, classes, components, near_duplicate_stage, sketcher
 
 from .helpers import ROWS, frame, texts
@@ -218,3 +221,20 @@ def test_column_named_like_the_row_number(spark):
     got = near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, _rid long"), "")
     assert got.columns == ["doc_id", "text", "_rid"]
     assert sorted(r._rid or 0 for r in got.collect()) in ([0, 777], [0, 888])
+
+
+def test_rows_of_a_value_carry_no_sketches_and_a_pair_leaves_once(spark, monkeypatch):
+    rng = random.Random(15)
+    ids = [sketcher().ids([*[f"w{i}" for i in range(100)], f"x{k}", f"y{rng.random()}"]) for k in range(3)]
+    bags = [sketcher().bag(x) for x in ids]
+    rows = [{"value": v, "turn_a": 0, "turn_b": 0, "block": 0, "rid": k, "root": k, "n": 102, "bag": bags[k], "wide": None} for v in (5, 6, 7) for k in range(3)]
+    kinds = pa.schema([("value", pa.int64()), ("turn_a", pa.int32()), ("turn_b", pa.int32()), ("block", pa.int32()), ("rid", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("bag", pa.binary()), ("wide", pa.binary())])
+    got = [p for b in order_minhash._met(iter([pa.RecordBatch.from_pylist(rows, kinds)])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2)]
+    # of the texts only those of a pair are shuffled
+    given = []
+    own = order_minhash._ends
+    monkeypatch.setattr(order_minhash, "_ends", lambda pairs, side, *more: given.append(side) or own(pairs, side, *more))
+    texts = spark.createDataFrame([(k, "a b c d e f") for k in range(50)], "rid long, text string")
+    links = order_minhash._links(spark.createDataFrame([(3, 7), (7, 40)], "u long, v long"), texts)
+    assert sorted(map(tuple, links.collect())) == [(3, 7), (7, 40)] and {x.rid for x in given[0].collect()} == {3, 7, 40}
