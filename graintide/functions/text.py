@@ -16,9 +16,8 @@ def clean_text(c: Column) -> Column:
 
 def clean_number(c: Column) -> Column:
     """A number without its thousands commas; null where the text means none or is no finite number."""
-    # of the texts in MISSING only nan is a number at all; the number is written twice, so it is kept small
-    number = F.translate(F.trim(c), ",", "").try_cast("double")
-    return F.when(~F.isnan(number), number)
+    # of the texts in MISSING only nan is a number at all; nanvl reads the number once
+    return F.nanvl(F.translate(F.trim(c), ",", "").try_cast("double"), F.lit(None).cast("double"))
 
 
 def header_key(name: str) -> str:

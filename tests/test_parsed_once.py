@@ -42,3 +42,10 @@ def test_batch_date_is_parsed_once(spark):
     got = maintenance.dated(rows, F.lit("2025-06-30").cast("date"))
     assert [r.arrival_date for r in got.collect()] == [datetime.date(2025, 4, 5)]
     assert plan(got).count("d MMM yyyy") == 1
+
+
+def test_a_number_is_read_once(spark):
+    frame = spark.createDataFrame([("1,234.5",), ("nan",), (" NaN ",), ("",), ("-",), (None,), ("x1",), (" -7 ",), ("none",)], "raw string").coalesce(1)
+    numbers = frame.select(text.clean_number(F.col("raw")).alias("number"))
+    assert [r.number for r in numbers.collect()] == [1234.5, None, None, None, None, None, None, -7.0, None]
+    assert plan(numbers).count("raw#") <= 2
