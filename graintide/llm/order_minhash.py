@@ -16,8 +16,8 @@ for each of them:
 
 * every value elects a centre; each text is aligned with the centre it shares most
   values with, then with one centre in another class, then for each two classes that still
-  meet at a centre one pair of their texts is aligned, and another in the next turn, so
-  groups of copies become one class for a row a text and value;
+  meet at a centre one pair of their texts is aligned, and another in the next turn as
+  long as turns pay, so groups of copies become one class for a row a text and value;
 * where a value still holds several classes, its rows go to one task (to one of
   several, by pairs of blocks, if they are many), which compares the word counts of
   all pairs of different classes.  Only pairs that these don't rule out leave the task,
@@ -59,12 +59,16 @@ BAG, WIDE, FINE = 128, 1024, 160
 #: Rows of a value that one block holds; larger values are compared by pairs of blocks.
 BLOCK = 2_000
 _MEMO = 200_000
+#: Least values of a text's that its rows carry: a pair leaves at the least one that both carry.
+LOW = 32
 #: Pairs of a task among which repeated ones are dropped.
 PAIRS = 50_000
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
 #: Turns in which texts meet centres of other classes; what they leave apart is compared by values.
 TURNS = 3
+#: A turn by pairs of classes pays, and another follows, if one in this many of its pairs is a link.
+PAYS = 100
 #: Copies of a class's first row when its members look up their class.
 SALTS = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -307,7 +311,7 @@ def _near_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Rows of whole values (value, turn_a, turn_b, block, rid, root, n, bag, wide), sorted by the first three."""
+    """Rows of whole values (value, turn_a, turn_b, block, rid, root, n, bag, wide and, if given, low), sorted by the first three."""
 
     def __init__(self, rows: pa.Table) -> None:
         number = lambda c: rows.column(c).to_numpy()
@@ -315,6 +319,10 @@ class _Rows:
         self.block, self.rid, self.root, self.n = (number(c) for c in ("block", "rid", "root", "n"))
         whole = lambda c: rows.column(c).combine_chunks()
         self.bag, self.wide = _bytes(whole("bag"), BAG), _bytes(whole("wide"), WIDE)
+        self.low = np.full((rows.num_rows, LOW), np.iinfo(np.int64).max)  # the filling is less than no value
+        if "low" in rows.column_names:  # rows may carry no values
+            lists = whole("low")
+            self.low[np.arange(LOW) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
 
     def ends(self) -> np.ndarray:
         a, b = self.turns
@@ -333,8 +341,17 @@ class _Rows:
         only(abs(self.n[i] - self.n[j]) <= band())
         only(_short_by(self.bag[i], self.bag[j]) <= band())
         only((self.n[i] < FINE) | (self.n[j] < FINE) | (_short_by(self.wide[i], self.wide[j]) <= band()))
+        only(~self.met_before(i, j))
         return self.rid[i], self.rid[j]
 
+    def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i, j also meet at a less value that both carry; never so at the least one that they share."""
+        a, b, at = self.low[i], self.low[j], self.value[i]
+        found = np.zeros(len(i), bool)
+        for k in range(LOW):
+            found |= (a[:, k] < at) & (b == a[:, k : k + 1]).any(1)
+        return found
+
 
 def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every pair of rows of each group, about ``most`` at a time."""
@@ -357,7 +374,8 @@ def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> I
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) of different classes that share a value and may link, of rows sorted by value.
 
-    A pair leaves as often as it meets, but once for about PAIRS of them; who calls takes the distinct ones.
+    A pair leaves at the least value that both rows carry.  Where they carry none in common it leaves at every value they
+    share, but once for about PAIRS of them; who calls takes the distinct ones.
     """
     held: list[pa.RecordBatch] = []
     found: list[np.ndarray] = []
@@ -436,7 +454,8 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     live = keep(live.filter("least < most").select("value", "rid", "root", "size"), "live")
     if live.isEmpty():
         return roots
-    found = _marked(sketches, live.select("rid").distinct()).filter("marked").select("rid", "n", "bag", "wide")
+    low = keep(live.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list("value")), 1, LOW).alias("low")), "low")
+    found = _marked(sketches, low.select("rid")).filter("marked").select("rid", "n", "bag", "wide").join(low, "rid")
     # rows of a value's largest class never meet each other: they are dealt once for each block of the others
     top = live.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"))
     large, others, own = F.col("root") == F.col("top.root"), F.ceil((F.col("size") - F.col("top.n")) / block).cast("int"), F.ceil(F.col("top.n") / block).cast("int")
@@ -446,7 +465,7 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     meets = F.col("others") + F.when(F.col("large"), 0).otherwise(F.col("own"))
     dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
     rows = dealt.join(found, "rid").repartition("value", "turn_a", "turn_b").sortWithinPartitions("value", "turn_a", "turn_b")
-    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide").mapInArrow(_met, "u long, v long")
+    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "low").mapInArrow(_met, "u long, v long")
     links = _links(keep(pairs.distinct(), "pairs"), texts)
     return roots if links.isEmpty() else contracted(roots, links)
 
@@ -494,9 +513,13 @@ def classes(docs: DataFrame, text: str = "text", block: int = BLOCK) -> tuple[Da
             apart = apart.groupBy("rid").agg(F.min_by("centre", F.xxhash64("rid", "centre")).alias("centre"))
         else:  # one pair of texts for two classes, another one each turn
             apart = apart.groupBy(F.least("root", "root_c"), F.greatest("root", "root_c")).agg(F.min_by(F.struct("rid", "centre"), F.xxhash64(F.lit(turn), "rid", "centre")).alias("pair")).select("pair.*")
-        later = linked(apart.select(*pair).distinct())
-        if not later.isEmpty():
+        apart = keep(apart.select(*pair).distinct(), "apart")
+        later = linked(apart)
+        n = later.count()
+        if n:
             roots = contracted(roots, later)
+        if turn and n * PAYS < apart.count():
+            break
     roots = _rest(met.select("value", "rid"), roots, sketches, texts, block)
 
     found = members.join(roots, F.col("uid") == F.col("node"), "left").select("rid", F.coalesce("root", "uid").alias("root"))
@@ -521,5 +544,5 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays; an empty table gives an empty result; all columns, whatever their names, are returned.
     """
     rows, found, number = classes(docs)
-    gone = found.filter("rid != root").select(F.col("rid").alias(number))
-    return rows.join(gone, number, "left_anti").select(*docs.columns)
+    whole = rows.select(F.col(number).alias("rid"), F.struct(*[rows[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    return _marked(whole, found.filter("rid != root").select("rid")).filter("not marked").select("doc.*")

@@ -238,3 +238,38 @@ def test_rows_of_a_value_carry_no_sketches_and_a_pair_leaves_once(spark, monkeyp
     texts = spark.createDataFrame([(k, "a b c d e f") for k in range(50)], "rid long, text string")
     links = order_minhash._links(spark.createDataFrame([(3, 7), (7, 40)], "u long, v long"), texts)
     assert sorted(map(tuple, links.collect())) == [(3, 7), (7, 40)] and {x.rid for x in given[0].collect()} == {3, 7, 40}
+
+
+def test_pair_of_several_values_leaves_at_the_least_one():
+    ids = [sketcher().ids([*[f"w{i}" for i in range(100)], f"x{k}"]) for k in range(3)]
+    low = [[-8, 5, 6, 7], [-9, 5, 6, 7], [6, 7]]
+    kinds = pa.schema([("value", pa.int64()), ("turn_a", pa.int32()), ("turn_b", pa.int32()), ("block", pa.int32()), ("rid", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("bag", pa.binary()), ("wide", pa.binary()), ("low", pa.list_(pa.int64()))])
+    got = []
+    for v in (5, 6, 7):  # a task each
+        rows = [{"value": v, "turn_a": 0, "turn_b": 0, "block": 0, "rid": k, "root": k, "n": 101, "bag": sketcher().bag(ids[k]), "wide": None, "low": low[k]} for k in range(3) if v in low[k]]
+        got += [(v, *p) for b in order_minhash._met(iter([pa.RecordBatch.from_pylist(rows, kinds)])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert sorted(got) == [(5, 0, 1), (6, 0, 2), (6, 1, 2)]
+
+
+def test_turns_end_when_they_find_no_links(spark, monkeypatch):
+    rng = random.Random(16)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join([*passage, *[f"o{i}x{k}" for k in range(100 + rng.randrange(20))]])) for i in range(60)]
+    names = []
+    own = order_minhash.keep
+    monkeypatch.setattr(order_minhash, "keep", lambda df, name: names.append(name) or own(df, name))
+    assert all(len(v) == 1 for v in groups(spark, rows).values())
+    assert names.count("near") == 3  # the best centre, a centre of another class, pairs of classes
+
+
+def test_rows_of_the_stage_are_not_shuffled(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, words if k % 2 else f"{words} {k} {k}x") for k in range(40)], "doc_id long, text string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_duplicate_stage(spark, docs, "")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
