@@ -92,18 +92,17 @@ def backfill(table: DataFrame, archive: DataFrame, out: str, floor: datetime.dat
     The archive has a partition column ``year``; windows of ``days`` walk back from the day before the oldest one
     and each is added as a part of ``out`` named by its first day.  A walk that is run again over the same table has the
     same windows and replaces its own parts; over a table that holds some of them it goes on below these.  An empty
-    table starts at ``today``.
+    table starts at ``today``.  The table has no row before its oldest day, so a window's rows aren't looked up in it.
     """
     spark = table.sparkSession
     oldest = table.agg(F.min("arrival_date")).first()[0] or today + datetime.timedelta(1)
     if oldest <= floor:
         return table.limit(0)
-    shape = maintenance.upsert(table, table.limit(0).withColumn("arrival_date", F.col("arrival_date").cast("string")), F.lit(today)).schema
+    shape = maintenance.dated(table, F.lit(today)).schema
     while oldest > floor:
         first = max(floor, oldest - datetime.timedelta(days))
         window = archive.filter(F.col("year").between(first.year, oldest.year) & (F.col("arrival_date") >= F.lit(first)) & (F.col("arrival_date") < F.lit(oldest)))
-        rows = maintenance.upsert(table.filter(F.col("arrival_date") < F.lit(oldest)), window.withColumn("arrival_date", F.col("arrival_date").cast("string")), F.lit(today))
-        rows.write.mode("overwrite").parquet(f"{out}/first={first}")
+        maintenance.dated(window, F.lit(today)).write.mode("overwrite").parquet(f"{out}/first={first}")
         oldest = first
     return spark.read.schema(shape).parquet(f"{out}/first=*")
 
