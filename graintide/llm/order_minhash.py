@@ -21,7 +21,9 @@ for each of them:
 * where a value still holds several classes, its rows go to one task (to one of
   several, by pairs of blocks, if they are many), which compares the word counts of
   all pairs of different classes.  Only pairs that these don't rule out leave the task,
-  once, for alignment.
+  once.  Of each two classes the likeliest pair is aligned first; once it joins them,
+  their other pairs need no alignment.  All pairs that still lie between two classes are
+  aligned.
 
 Equal texts are one node from the start and are never paired.  The edit
 similarity of texts with n and m words at word distance d is 1 - d / max(n, m).
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graintide.llm.common import keep, resident, table
+from graintide.llm.common import arrow_rows, keep, resident, table
 
 WORDS = 3
 #: Sketches of a text of LONG k-mers or more, and of a shorter one.  With the share j of common k-mers, s sketches meet with
@@ -63,6 +65,10 @@ _MEMO = 200_000
 LOW = 32
 #: Pairs of a task among which repeated ones are dropped.
 PAIRS = 50_000
+#: Pairs whose word counts a task compares at a time, at some 10 kB each.
+AT_ONCE = 5_000
+#: Texts, and pairs of texts, that go to a task in one batch.
+TEXTS, TEXT_PAIRS = 2_048, 512
 #: Most rows of a mask that is broadcast, at 16 bytes for 64 row numbers; beyond it rows and mask are shuffled.
 MASK_ROWS = 1_000_000
 #: Turns in which texts meet centres of other classes; what they leave apart is compared by values.
@@ -328,8 +334,8 @@ class _Rows:
         a, b = self.turns
         return np.flatnonzero(np.append((self.value[1:] != self.value[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)) + 1
 
-    def left(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs of rows i, j those in different classes that the word counts allow."""
+    def left(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """(u, v, a, b, off) of the pairs of rows i, j in different classes that the word counts allow, those of the rows and of the classes in order."""
 
         def only(good: np.ndarray) -> None:
             nonlocal i, j
@@ -342,7 +348,11 @@ class _Rows:
         only(_short_by(self.bag[i], self.bag[j]) <= band())
         only((self.n[i] < FINE) | (self.n[j] < FINE) | (_short_by(self.wide[i], self.wide[j]) <= band()))
         only(~self.met_before(i, j))
-        return self.rid[i], self.rid[j]
+        fine = (self.n[i] >= FINE) & (self.n[j] >= FINE)
+        edits = np.maximum(_short_by(self.bag[i], self.bag[j]), np.where(fine, _short_by(self.wide[i], self.wide[j]), 0))
+        off = edits.astype(np.int64) * 1000 // np.maximum(np.maximum(self.n[i], self.n[j]), 1)
+        ends = lambda x: (np.minimum(x[i], x[j]), np.maximum(x[i], x[j]))
+        return np.stack([*ends(self.rid), *ends(self.root), off], 1)
 
     def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether rows i, j also meet at a less value that both carry; never so at the least one that they share."""
@@ -353,7 +363,7 @@ class _Rows:
         return found
 
 
-def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every pair of rows of each group, about ``most`` at a time."""
     sizes = ends - starts
     for size in np.unique(sizes[sizes > 1]).tolist():
@@ -372,18 +382,18 @@ def _pairs_within(starts: np.ndarray, ends: np.ndarray, most: int = 20_000) -> I
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of different classes that share a value and may link, of rows sorted by value.
+    """Pairs (u, v) of different classes a and b that share a value and may link, of rows sorted by value.
 
-    A pair leaves at the least value that both rows carry.  Where they carry none in common it leaves at every value they
+    ``off`` is the least number of edits by word counts in 1,000 words.  A pair leaves at the least value that both rows carry.  Where they carry none in common it leaves at every value they
     share, but once for about PAIRS of them; who calls takes the distinct ones.
     """
     held: list[pa.RecordBatch] = []
     found: list[np.ndarray] = []
 
     def sent() -> pa.RecordBatch:
-        u, v = np.unique(np.concatenate(found), axis=0).T
+        columns = np.unique(np.concatenate(found), axis=0).T
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["u", "v", "a", "b", "off"])
 
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -400,9 +410,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = int(ends[-2]) if len(ends) > 1 else 0
             held, ends = whole.slice(cut).to_batches(), ends[:-1]
         for i, j in _pairs_within(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else ():
-            u, v = rows.left(i, j)
-            if len(u):
-                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+            left = rows.left(i, j)
+            if len(left):
+                found.append(left)
                 if sum(map(len, found)) >= PAIRS:
                     yield sent()
     if found:
@@ -437,7 +447,8 @@ def _ends(pairs: DataFrame, side: DataFrame, value: str, *more: str) -> DataFram
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v), kept ones, whose texts align.  Only texts of a pair are shuffled."""
     own = _marked(texts, pairs.select(F.explode(F.array("u", "v")).alias("rid"))).filter("marked")
-    return keep(_ends(pairs, own, "text").mapInArrow(_aligned, "u long, v long"), "links")
+    with arrow_rows(texts.sparkSession, TEXT_PAIRS):
+        return keep(_ends(pairs, own, "text").mapInArrow(_aligned, "u long, v long"), "links")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -446,6 +457,26 @@ def _rooted(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame
     return rows.join(own, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
 
 
+def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """roots after every one of the pairs (u, v) of classes a < b, kept ones, is aligned or within one class.
+
+    The pair of least ``off`` of each two classes is aligned first, and again while that pays; then all that are left.
+    """
+    for _ in range(TURNS):
+        two = keep(pairs.groupBy("a", "b").agg(F.min_by(F.struct("u", "v"), F.struct("off", "u", "v")).alias("first"), F.count(F.lit(1)).alias("n")), "two")
+        links = _links(two.select("first.*"), texts)
+        n = links.count()
+        if n:
+            roots = contracted(roots, links)
+        apart = _rooted(_rooted(two.filter("n > 1"), roots, "a", "c"), roots, "b", "d").filter("c != d")
+        left = pairs.join(apart.drop("n"), ["a", "b"]).filter("u != first.u or v != first.v")
+        pairs = keep(left.select("u", "v", F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), "off"), "pairs")
+        if n * PAYS < two.count():
+            break
+    links = _links(pairs, texts)
+    return roots if links.isEmpty() else contracted(roots, links)
+
+
 def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """roots after every pair of values' rows (value, rid) that share a value is ruled out, aligned or within one class."""
     named = _rooted(values, roots, "rid", "root")
@@ -465,9 +496,8 @@ def _rest(values: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataF
     meets = F.col("others") + F.when(F.col("large"), 0).otherwise(F.col("own"))
     dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("value", F.least("block", "other").alias("turn_a"), F.greatest("block", "other").alias("turn_b"), "block", "rid", "root")
     rows = dealt.join(found, "rid").repartition("value", "turn_a", "turn_b").sortWithinPartitions("value", "turn_a", "turn_b")
-    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "low").mapInArrow(_met, "u long, v long")
-    links = _links(keep(pairs.distinct(), "pairs"), texts)
-    return roots if links.isEmpty() else contracted(roots, links)
+    pairs = rows.select("value", "turn_a", "turn_b", "block", "rid", "root", "n", "bag", "wide", "low").mapInArrow(_met, "u long, v long, a long, b long, off long")
+    return _joined(keep(pairs.distinct(), "pairs"), roots, texts)
 
 
 def _free(name: str, taken: list[str]) -> str:
@@ -491,7 +521,8 @@ def classes(docs: DataFrame, text: str = "text", block: int = BLOCK) -> tuple[Da
     members = keep(hashes.join(copies, ["h1", "h2"], "left").select("rid", F.coalesce("uid", "rid").alias("uid")), "members")
 
     unique = _marked(given, members.filter("rid != uid").select("rid")).filter("not marked")
-    sketches = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, n int, bag binary, wide binary, sketch array<long>, near array<long>"), "sketches")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        sketches = keep(unique.select("rid", "text").mapInArrow(_sketched, "rid long, n int, bag binary, wide binary, sketch array<long>, near array<long>"), "sketches")
     single = sketches.select("rid", F.explode(F.concat("sketch", "near")).alias("value"))
     turn = F.shiftrightunsigned(F.xxhash64("value"), 1)
     centres = single.groupBy("value").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", F.col("least").bitwiseXOR(turn).alias("centre"))

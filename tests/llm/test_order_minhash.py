@@ -273,3 +273,19 @@ def test_rows_of_the_stage_are_not_shuffled(spark):
         assert got.count() == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_pairs_of_joined_classes_are_not_aligned(spark, monkeypatch):
+    base, far = [f"w{i}" for i in range(60)], [f"z{i}" for i in range(60)]
+    words = {k: [*base[:k], f"x{k}", *base[k + 1 :]] for k in range(6)} | {k: [*base[:k], f"x{k}", *base[k + 1 :]] for k in range(10, 16)} | {20: far}
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in words.items()], "rid long, text string")
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 6)] + [(k, 10) for k in range(11, 16)], "node long, root long")
+    rows = [(u, v, 0, 10, 10 * (u + v)) for u in range(6) for v in range(10, 16)] + [(u, 20, 0, 20, 5) for u in range(6)]
+    asked = []
+    own = order_minhash._links
+    monkeypatch.setattr(order_minhash, "_links", lambda pairs, texts: asked.extend((x.u, x.v) for x in pairs.collect()) or own(pairs, texts))
+    got = order_minhash._joined(spark.createDataFrame(rows, "u long, v long, a long, b long, off long"), roots, texts)
+    found = {x.node: x.root for x in got.collect()}
+    assert {found.get(k, k) for k in words if k < 20} == {0} and found.get(20, 20) == 20
+    # one pair of the two classes that it joins; all pairs of the others
+    assert [p for p in asked if p[1] < 20] == [(0, 10)] and sorted(p for p in asked if p[1] == 20) == [(u, 20) for u in range(6)]
