@@ -31,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm.common import keep, resident, table
+from graintide.llm.common import arrow_rows, keep, resident, table
 
 CAPACITY = 4096
 _PIECES = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long"
 #: Words remembered in each of two generations; a word met again moves to the younger one.
 MEMO = 450_000
+#: The same in the pipeline, whose executors hold more from earlier stages: a word takes about 350 bytes.
+STAGE_MEMO = 120_000
+#: Texts that go to a task in one batch.
+TEXTS = 512
 MEMO_CHARS = 64
 
 
@@ -50,7 +54,7 @@ class WordTokenizer:
     Texts that hold a special token's own text go to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MEMO) -> None:
         import regex
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,6 +64,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.odd = regex.compile(r"[\x1c-\x1f]")
+        self.most = most
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,7 +83,7 @@ class WordTokenizer:
         """Ids of each text as little-endian 32-bit integers."""
         whole = {k for k, t in enumerate(texts) if any(x in t for x in self.special)}
         split = [[] if k in whole else self.split(t) for k, t in enumerate(texts)]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         new = []
@@ -103,19 +108,19 @@ class WordTokenizer:
         return out
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    return resident(f"words {path}", lambda: WordTokenizer(path))
+def word_tokenizer(path: str, most: int = MEMO) -> WordTokenizer:
+    return resident(f"words {path} {most}", lambda: WordTokenizer(path, most))
 
 
-def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text", memo: int = MEMO) -> DataFrame:
     """Pieces of every document: place in its ids, length and digest."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer)
+        words = word_tokenizer(tokenizer, memo)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 rows = []
                 for doc, dup, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words.packed([x or "" for x in part.column(2).to_pylist()]), strict=True):
                     ids += end
@@ -214,10 +219,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = 20_000,
     return every.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
 
 
-def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(docs: DataFrame, memo: int) -> DataFrame:
     import public_tokenizers
 
-    return pack(keep(cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        pieces = keep(cut(docs, public_tokenizers.path("word_bpe_49k.json"), memo=memo), "pieces")
+    return pack(pieces)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(table(spark, sf_dir, "documents"), MEMO)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -226,6 +237,4 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are one piece of the end id; equal documents are packed each;
     an empty table gives an empty result; other columns are not read.
     """
-    import public_tokenizers
-
-    return pack(keep(cut(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+    return _packed(docs, STAGE_MEMO)

@@ -77,3 +77,22 @@ def test_bounds_hold():
         assert np.array_equal(np.bincount(where, weights=x).astype(int), fill)
         assert lower_bound(np.bincount(x, minlength=101), 100) <= len(fill)
     assert lower_bound(np.bincount([51] * 7, minlength=101), 100) == 7
+
+
+def test_stage_reads_small_batches_and_remembers_few_words(spark, monkeypatch):
+    from graintide.llm import packing
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen = []
+    own = packing.keep
+    monkeypatch.setattr(packing, "keep", lambda df, kept: seen.append((kept, spark.conf.get(name))) or own(df, kept))
+    before = spark.conf.get(name)
+    got = packing.packing_stage(spark, frame(spark), "").collect()
+    assert seen[0] == ("pieces", str(packing.TEXTS)) and spark.conf.get(name) == before
+    monkeypatch.undo()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want([x[:2] for x in ROWS])
+    small = packing.WordTokenizer(PATH, 50)
+    for k in range(20):
+        small.packed([" ".join(f"w{k}x{i}" for i in range(60))])
+        assert len(small.memo) + len(small.older) <= 240
+    assert small.packed([t or "" for _, t in texts()]) == packing.WordTokenizer(PATH).packed([t or "" for _, t in texts()])
