@@ -37,7 +37,7 @@ CAPACITY = 4096
 _PIECES = "doc_id long, dup long, piece int, start long, length long, ids_crc32 long"
 #: Words remembered in each of two generations; a word met again moves to the younger one.
 MEMO = 450_000
-#: The same in the pipeline, whose executors hold more from earlier stages: a word takes about 350 bytes.
+#: The same in the pipeline, whose executors hold more from earlier stages: a word takes 200 to 250 bytes.
 STAGE_MEMO = 120_000
 #: Texts that go to a task in one batch.
 TEXTS = 512
