@@ -40,3 +40,10 @@ def test_many_rows_are_trained_fewer_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(learning, "TOGETHER", 1000)
     learning.grid_scores(sales(spark, 1), rounds=(1,), depths=(1, 2), rates=(0.1,))
     assert pools == [1]
+
+
+def test_the_grid_takes_all_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(learning, "grid_scores", lambda rows, rounds=learning.GRID[0], *more, **named: asked.append(tuple(rounds)))
+    learning.loss_grid(spark, SF)
+    assert asked == [(100, 200)]
