@@ -47,3 +47,32 @@ def test_the_grid_takes_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(learning, "grid_scores", lambda rows, rounds=learning.GRID[0], *more, **named: asked.append(tuple(rounds)))
     learning.loss_grid(spark, SF)
     assert asked == [(100, 200)]
+
+
+def test_the_scan_takes_the_best_of_the_classifiers_models(spark):
+    cells = learning.loss_cells(sales(spark, 2))
+    train, test = cells.filter("part <> 'test'"), cells.filter("part = 'test'")
+    learners = {"one leaf": learning.boosted(1, 1), "two": learning.boosted(3, 3)}
+    best = max(learning.auc(learning._fitted(train, x), test, "is_loss", "n") for x in learners.values())
+    assert learning.auc(learning._loss_model(train, learners, test), test, "is_loss", "n") == pytest.approx(best, abs=1e-9)
+    assert list(learning.loss_learners()) == ["trees of depth 3", "trees of depth 5", "logistic regression"]
+
+
+def test_small_segments_take_wider_means(spark):
+    row = lambda c, s, p, n: [(c, s, "r", "g", "m", 0.1, 1.0, 2.0, p, int(p < 0))] * n
+    rows = spark.createDataFrame(row("a", "x", 30.0, 4) + row("a", "x", -10.0, 2) + row("a", "y", 120.0, 2) + row("b", "z", 7.0, 1), SHAPE)
+    model = learning._loss_model(rows, learning.boosted(1, 1))
+    scan = learning.discount_scan(rows, model)
+    found = {r.sub_category: r for r in scan.filter("step = 0").collect()}
+    assert scan.count() == 60 and {k: r.n for k, r in found.items()} == {"x": 6, "y": 2, "z": 1}
+    for name, gain, loss in (("x", 30.0, -10.0), ("y", 60.0, -10.0), ("z", learning.GAIN, learning.LOSS)):
+        risk = found[name].loss_risk
+        assert found[name].expected_profit == pytest.approx((1 - risk) * gain + risk * loss)
+    assert [r.sub_category for r in learning.safe_discounts(scan).collect()] == ["x"]
+
+
+def test_each_scan_has_its_safe_discount(spark):
+    scan, best = learning.safe_discount(spark, SF), learning.batch_safe_discounts(spark, SF)
+    named = scan.filter("n >= 5").select(*learning.COMBO, "n", "safe_discount_pct").distinct()
+    assert named.exceptAll(best.select(*learning.COMBO, "n", "safe_discount_pct")).count() == 0 < best.count() == named.count()
+    assert scan.filter("n < 5").count() > 0 == scan.filter("safe_loss_risk IS NULL").count()
