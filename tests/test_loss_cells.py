@@ -76,3 +76,8 @@ def test_each_scan_has_its_safe_discount(spark):
     named = scan.filter("n >= 5").select(*learning.COMBO, "n", "safe_discount_pct").distinct()
     assert named.exceptAll(best.select(*learning.COMBO, "n", "safe_discount_pct")).count() == 0 < best.count() == named.count()
     assert scan.filter("n < 5").count() > 0 == scan.filter("safe_loss_risk IS NULL").count()
+
+
+def test_few_rows_make_few_tasks(spark):
+    cells = learning.loss_cells(sales(spark, 1)).repartition(40)
+    assert learning._balanced(cells).rdd.getNumPartitions() == 1
